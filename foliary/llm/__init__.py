@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality", "tokens", "mix")
+MODULES = ("quality", "neardup", "tokens", "mix")
 
 
 def queries() -> dict:
