@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality", "lookalike", "neardup", "tokens", "mix")
+MODULES = ("quality", "lookalike", "sentences", "neardup", "tokens", "mix")
 
 
 def queries() -> dict:
