@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import durable, records
-from .quality import KINDS, kind_shares
+from .figures import KINDS
+from .quality import describe
 
 #: Fixed values, as Java and Python classes understand them: forms that are not the usual ones.
 INVISIBLE = "­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿\U000e0001-\U000e01ef"
@@ -136,9 +137,9 @@ def unify(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
 
 def _without_junk(df: DataFrame) -> DataFrame:
     """Junk pages are not rated; only rows with an unusual form are looked at."""
-    rows = kind_shares(df.where(F.col("text").rlike(f"{UNUSUAL}|{MIXED}")))
+    rows = describe(df.where(F.col("text").rlike(f"{UNUSUAL}|{MIXED}")), {}, keep=df.columns)
     junk = (F.col("record_kind") == "page") & (F.col("c_junk") > 0) & (F.col("c_junk") == F.greatest(*(F.col(f"c_{k}") for k in KINDS)))
-    return rows.where(~junk).drop(*(f"c_{k}" for k in KINDS))
+    return rows.where(~junk).select(*df.columns)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,67 +1,46 @@
 """Problem 1: figures that describe a text, their distribution by language, and the kind of text.
 
-Everything runs on Catalyst expressions without a shuffle of texts; only sketches (a few kB per language and statistic)
-move. Kinds: every line is rated by its form; a record takes the kind that holds most of its characters. Where the form
-says prose, the percentiles of the record's statistics among records of its language decide whether it lies in a tail
-that no running text reaches.
+One map over Arrow batches computes the figures; only they and the sketches (a few kB per language and statistic) move
+on. Every line is rated by its form, and a record takes the kind that holds most of its characters. Where the form says
+prose, the percentiles of the record's statistics among the running text of its language decide whether it lies in a
+tail that no running text reaches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import durable, records, table
+from .figures import KINDS, STATS, figures, kind_sizes
 
-STATS = ("mean_word_len", "symbol_ratio", "digit_ratio", "line_end_ratio", "common_ratio", "novowel_ratio")
-#: Marks that end a sentence.
-ENDS = ".!?。！？…।:：\"”»」』)）"
-SCRIPTS = {"ja": r"\p{IsHiragana}\p{IsKatakana}", "th": r"\p{IsThai}", "hi": r"\p{IsDevanagari}", "ru": r"\p{IsCyrillic}", "zh": r"\p{IsHan}"}
-
-
-def _count(text: Column, pattern: str) -> Column:
-    """Number of characters that match a character class."""
-    return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
-
-
-def language(text: Column, words: dict[str, list[str]]) -> Column:
-    """By script; for Latin script the language with most hits among its function words; 'und' where there is none."""
-    latin = {k: v for k, v in words.items() if k not in SCRIPTS}
-    tokens = F.split(F.lower(text), r"[^\p{L}]+")
-    letters = _count(text, r"\p{L}")
-    by_script = F.when(letters < 1, "und").when(_count(text, f"[{SCRIPTS['ja']}]") * 5 > letters, "ja")
-    for k in ("th", "hi", "ru", "zh"):
-        by_script = by_script.when(_count(text, f"[{SCRIPTS[k]}]") * 3 > letters, k)
-    hits = [F.struct(F.size(F.array_intersect(tokens, F.array(*map(F.lit, v)))).alias("n"), F.lit(k).alias("k")) for k, v in sorted(latin.items())]
-    best = F.array_max(F.array(*hits)) if len(hits) > 0 else F.struct(F.lit(0).alias("n"), F.lit("und").alias("k"))
-    return by_script.otherwise(F.when(best["n"] > 0, best["k"]).otherwise("und"))
-
-
-def statistics(df: DataFrame, words: dict[str, list[str]], text: str = "text") -> DataFrame:
-    """Adds n_chars, n_words, n_lines, lang and STATS. Null texts count as empty and have null ratios."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumns({"n_chars": F.length(F.regexp_replace(t, r"(?U)^\s+|\s+$", "")), "n_lines": F.regexp_count(t, F.lit(r"\S[^\n\r]*")), "n_words": F.regexp_count(t, F.lit(r"[\p{L}\p{N}]+")), "lang": language(t, words)})
-    dense = F.length(F.regexp_replace(t, r"\s+", ""))
-    spaced = {k: v for k, v in words.items() if k not in ("zh", "ja", "th")}
-    runs = {k: v for k, v in words.items() if k in ("zh", "ja", "th")}
-    common = F.lit(0.0)
-    for k, v in spaced.items():
-        common = F.when(F.col("lang") == k, F.regexp_count(t, F.lit(r"(?iU)\b(?:" + "|".join(sorted(v, key=len, reverse=True)) + r")\b")) / F.col("n_words")).otherwise(common)
-    for k, v in runs.items():
-        common = F.when(F.col("lang") == k, F.regexp_count(t, F.lit("|".join(sorted(v, key=len, reverse=True)))) / F.greatest(F.lit(1), _count(t, r"\p{L}"))).otherwise(common)
-    over = lambda n, d: F.when(d > 0, n / d)
-    return df.withColumns(
-        {
-            "mean_word_len": over(_count(t, r"[\p{L}\p{N}\p{M}]"), F.col("n_words")),
-            "symbol_ratio": over(_count(t, r"[^\p{L}\p{N}\p{M}\s]"), dense),
-            "digit_ratio": over(_count(t, r"\p{N}"), dense),
-            "line_end_ratio": over(F.regexp_count(t, F.lit(f"[{ENDS.replace(chr(34), chr(34))}]\\s*(?:[\\n\\r]|$)")), F.col("n_lines")),
-            "common_ratio": F.when(F.col("n_words") > 0, common),
-            "novowel_ratio": over(F.regexp_count(t, F.lit(r"(?i)\b[b-df-hj-np-tv-xz]{2,}\b")), F.col("n_words")),
-        }
-    )
+
+def describe(df: DataFrame, words: dict[str, list[str]], text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` (all but the text unless given) with n_chars, n_lines, n_words, lang, STATS and c_<kind>, the
+    characters without white space in lines of each kind. Null texts count as empty, with null ratios. Columns of the
+    input that are named like a figure must not be kept."""
+    keep = [c for c in df.columns if c != text] if keep is None else keep
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(len(keep)).to_pylist()
+            if not texts:
+                continue
+            f = figures(texts, words)
+            sizes = np.array([kind_sizes(t) for t in texts], np.int32)
+            cols = [*(b.column(i) for i in range(len(keep))), *(pa.array(f[c]) for c in ("n_chars", "n_lines", "n_words")), pa.array(f["lang"].tolist(), pa.string())]
+            cols += [pa.array(f[c], from_pandas=True) for c in STATS] + [pa.array(sizes[:, i]) for i in range(len(KINDS))]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    names = [*keep, "n_chars", "n_lines", "n_words", "lang", *STATS, *(f"c_{k}" for k in KINDS)]
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    schema = [f"`{c}` {kinds[c]}" for c in keep] + ["n_chars int", "n_lines int", "n_words int", "lang string"] + [f"{c} double" for c in STATS] + [f"c_{k} int" for k in KINDS]
+    return df.select(*(df[c] for c in keep), df[text].alias("_text")).mapInArrow(run, ", ".join(schema))
 
 
 def sketches(stats: DataFrame, where: Column | None = None) -> DataFrame:
@@ -93,51 +72,13 @@ def percentiles(stats: DataFrame, by_lang: DataFrame) -> DataFrame:
     return out.withColumns(new).drop(*(f"k_{c}" for c in STATS))
 
 
-def _below(v: Column):
+def _below(v: Column) -> Callable[[Column], Column]:
     return lambda x: x < v
 
 
-#: Forms of lines, tried in this order.
-JUNK = r"</?\w+:\w+|\bT[jd] ET\b|\bBT /F\d|\b(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{24,}\b|([^\s._·…—-])\1{11,}|(?:(\S{1,3} ?)\2{7,})"
-LEADERS = r"(?:[._·…]\s?){5,}|…{2,}"
-ITEM = r"^\s*(?:[•·∙▪◦‣●○■□*–—-]\s|\[[ xX✓]?\]|\(?\d{1,3}[.)、）]\s?(?!\d)|[a-zA-Z][.)]\s|\d{1,2}(?:\.\d{1,2}){1,3}\s)"
-PAIR = r"^\s*[^:：.!?。\t]{2,40}[:：]\s?\S[^.!?。！？]{0,60}$|^\s*[^:：.!?。\t]{2,40}[:：]\s?\S*[\d.,-]+\S*$"
-CODES = r"\([^()\s]{3,20}\)[,;]?\s*$"
-COLUMNS = r"\t|\s\|\s|\|.*\||(?<![.!?。！？…”»\"'’:])[ 　]{3,}(?=\S)"
-
-
-def line_kind(line: Column) -> Column:
-    """blank, junk, table, list or prose, of one line by its form alone."""
-    dense = F.regexp_replace(line, r"\s+", "")
-    n = F.length(dense)
-    odd = _count(dense, r"[^\p{L}\p{N}\p{M}]")
-    hollow = F.regexp_count(line, F.lit(r"(?i)\b[b-df-hj-np-tv-xz]{2,}\b")) * 2 > F.regexp_count(line, F.lit(r"\S+"))
-    return (
-        F.when(n == 0, "blank")
-        .when(line.rlike(LEADERS) & line.rlike(r"\d\s*$"), "list")
-        .when(line.rlike(JUNK) | ((n >= 12) & (odd * 2 > n)) | ((n >= 12) & hollow), "junk")
-        .when(line.rlike(ITEM), "list")
-        .when(line.rlike(COLUMNS), "table")
-        .when(line.rlike(PAIR) | line.rlike(CODES), "list")
-        .otherwise("prose")
-    )
-
-
-KINDS = ("prose", "list", "table", "junk")
-
-
-def kind_shares(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds c_<kind>, the characters without white space in lines of each kind (null texts: 0)."""
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), r"\r\n|\r|\n")
-    rated = F.transform(lines, lambda s: F.struct(line_kind(s).alias("k"), F.length(F.regexp_replace(s, r"\s+", "")).alias("n")))
-    df = df.withColumn("_rated", rated)
-    total = lambda k: F.aggregate("_rated", F.lit(0), lambda a, x: a + F.when(x["k"] == k, x["n"]).otherwise(0))
-    return df.withColumns({f"c_{k}": total(k) for k in KINDS}).drop("_rated")
-
-
 def classify(df: DataFrame, words: dict[str, list[str]], text: str = "text") -> DataFrame:
-    """Adds the statistics, their percentiles and z-scores, and text_kind (prose, list, table, junk; null for blank)."""
-    s = durable(kind_shares(statistics(df, words, text), text).drop(text))  # figures only: what follows reads them twice
+    """The other columns with the figures, their percentiles and z-scores, and text_kind (prose, list, table, junk; null for blank)."""
+    s = durable(describe(df, words, text))  # figures only: what follows reads them twice
     prose = (F.col("c_prose") * 10 > 9 * (F.col("c_prose") + F.col("c_list") + F.col("c_table") + F.col("c_junk"))) & (F.col("line_end_ratio") > 0)
     s = percentiles(s, sketches(s, prose))
     most = F.greatest(*(F.col(f"c_{k}") for k in KINDS))
