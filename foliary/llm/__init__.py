@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality", "lookalike", "sentences", "neardup", "tokens", "mix", "level")
+MODULES = ("quality", "encoding", "lookalike", "sentences", "neardup", "tokens", "mix", "level")
 
 
 def queries() -> dict:

@@ -20,11 +20,11 @@ from .figures import KINDS
 from .quality import describe
 
 #: Fixed values, as Java and Python classes understand them: forms that are not the usual ones.
-INVISIBLE = "­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿\U000e0001-\U000e01ef"
-SPACES = "   -   　"
-WIDTHS = "０-９Ａ-Ｚａ-ｚｦ-ￜ"
-VARIANTS = "ĲĳĿŀŉſǄ-ǌǱ-ǳ⺀-⻳⼀-⿕豈-﫿ﬀ-ﬗﭐ-﷿ﹰ-ﻼ\U0001d400-\U0001d7ff\U0002f800-\U0002fa1f"
-MARKS = "̀-゙゚ͯ"
+INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\U000e0001-\U000e01ef"
+SPACES = "\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000"
+WIDTHS = "\uff10-\uff19\uff21-\uff3a\uff41-\uff5a\uff66-\uffdc"
+VARIANTS = "\u0132\u0133\u013f\u0140\u0149\u017f\u01c4-\u01cc\u01f1-\u01f3\u2e80-\u2ef3\u2f00-\u2fd5\uf900-\ufaff\ufb00-\ufb17\ufb50-\ufdff\ufe70-\ufefc\U0001d400-\U0001d7ff\U0002f800-\U0002fa1f"
+MARKS = "\u0300-\u036f\u3099\u309a"
 LATIN, GREEK, CYRILLIC = "A-Za-zÀ-ɏ", "Ͱ-Ͽ", "Ѐ-ԯ"
 #: Letters of other scripts beside the Latin letters that look the same.
 LOOKS = {
