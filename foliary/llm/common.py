@@ -43,3 +43,13 @@ def tokenizer_path(name: str, path: str | None = None) -> str:
         if os.path.isfile(os.path.join(base, name)):
             return os.path.join(base, name)
     raise FileNotFoundError(name)
+
+
+def sample(df: DataFrame, key: str, text: str, size: int) -> list[str]:
+    """Texts of about `size` rows (at most twice as many), chosen by the hash of their key; all rows if there are no
+    more. Null texts are left out. Only the chosen rows reach the driver."""
+    rows = df.where(F.col(text).isNotNull()).select(F.xxhash64(key).alias("h"), F.col(text).alias("t"))
+    n = rows.count()
+    if n > size:
+        rows = rows.where(F.pmod("h", F.lit(1 << 30)) < int(size / n * (1 << 30)))
+    return [r.t for r in sorted(rows.limit(2 * size).collect(), key=lambda r: (r.h, r.t))]

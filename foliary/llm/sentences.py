@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import sample, table
 
 #: Pages whose reliable places train the model.
 SAMPLE = 4000
@@ -228,10 +228,9 @@ def starts(text: str | None, weights: np.ndarray) -> list[int]:
     return sorted(got)
 
 
-def model(df: DataFrame, key: str, text: str = "text", sample: int = SAMPLE) -> np.ndarray:
-    """Fitted on the `sample` rows with the least hash of their key."""
-    rows = df.where(F.col(text).isNotNull()).select(F.xxhash64(key).alias("h"), F.col(text).alias("t")).orderBy("h", "t").limit(sample)
-    return fit([r.t for r in rows.collect()])
+def model(df: DataFrame, key: str, text: str = "text", size: int = SAMPLE) -> np.ndarray:
+    """Fitted on a bounded sample of the rows."""
+    return fit(sample(df, key, text, size))
 
 
 def segment(df: DataFrame, weights: np.ndarray, key: str = "page_id", text: str = "text") -> DataFrame:
