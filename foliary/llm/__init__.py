@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality", "encoding", "scan", "lookalike", "sentences", "neardup", "tokens", "mix", "level")
+MODULES = ("quality", "encoding", "pii", "scan", "lookalike", "sentences", "neardup", "tokens", "mix", "level")
 
 
 def queries() -> dict:
