@@ -65,7 +65,8 @@ def extract(files: DataFrame, path: str = "path", content: str = "content", norm
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
-    """Files of a folder (not below it) or a single file, without dot files: path, modificationTime, length, content."""
+    """Files of a folder (not below it) or a single file, without dot files: path, modificationTime, length, content.
+    Spark plans no split for a file of no bytes, so empty files have no row."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path).where(~F.element_at(F.split("path", "/"), -1).startswith("."))
 
 
