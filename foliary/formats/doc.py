@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import struct
+from bisect import bisect_right
 
 from ..operators.paginate import Options, Paragraph, paginate
 from . import cfb
@@ -42,8 +43,94 @@ def pieces(word: bytes, table: bytes) -> list[tuple[int, int, bool]]:
     return out
 
 
-def piece_text(word: bytes, table: bytes) -> str:
-    return "".join(word[a : a + n].decode("latin-1") if narrow else word[a : a + 2 * n].decode("utf-16-le", "replace") for a, n, narrow in pieces(word, table))
+DEFAULT = ("", 11.0, "#000000")
+#: The sixteen colours that older properties number from 1.
+COLORS = "#000000 #0000FF #00FFFF #00FF00 #FF00FF #FF0000 #FFFF00 #FFFFFF #00008B #008B8B #006400 #8B008B #8B0000 #808000 #A9A9A9 #D3D3D3".split()
+
+
+def part(word: bytes, table: bytes, index: int) -> bytes:
+    """The stretch of the table stream that an entry of the file header points to."""
+    at = 154 + index * 8
+    if len(word) < at + 8:
+        return b""
+    start, size = struct.unpack_from("<II", word, at)
+    return table[start : start + size] if start + size <= len(table) else b""
+
+
+def font_names(data: bytes) -> list[str]:
+    out, at = [], 4
+    n = struct.unpack_from("<H", data)[0] if len(data) >= 4 else 0
+    while len(out) < n and at < len(data) and data[at] >= 39 and at + data[at] + 1 <= len(data):
+        end = at + data[at] + 1
+        out.append(data[at + 40 : end - (end - at) % 2].decode("utf-16-le", "replace").split("\0")[0])
+        at = end
+    return out
+
+
+def _properties(data: bytes, fonts: list[str]) -> tuple[str, float, str]:
+    """Font (the East Asian one first), size and colour of a list of properties."""
+    font, size, color = DEFAULT
+    chosen: dict[int, int] = {}
+    at = 0
+    while at + 2 <= len(data):
+        op = struct.unpack_from("<H", data, at)[0]
+        at += 2
+        n = {0: 1, 1: 1, 2: 2, 4: 2, 5: 2, 3: 4, 7: 3}.get(op >> 13, -1)
+        if n < 0:
+            if at >= len(data):
+                break
+            n = data[at]
+            at += 1
+        arg = data[at : at + n]
+        if len(arg) < n:
+            break
+        if op == 0x4A43:
+            size = struct.unpack("<H", arg)[0] / 2
+        elif op in (0x4A4F, 0x4A50):
+            chosen[op] = struct.unpack("<H", arg)[0]
+        elif op == 0x2A42:
+            color = COLORS[arg[0] - 1] if 1 <= arg[0] <= 16 else "#000000"
+        elif op == 0x6870 and arg != b"\xff" * 4:
+            color = f"#{arg[0]:02X}{arg[1]:02X}{arg[2]:02X}"
+        at += n
+    k = chosen.get(0x4A50, chosen.get(0x4A4F, -1))
+    return (fonts[k] if 0 <= k < len(fonts) else font), size, color
+
+
+def style_runs(word: bytes, table: bytes) -> list[tuple[int, int, tuple]]:
+    """(from, to, style) over places in the document stream, from the pages of character properties."""
+    plc, fonts, out = part(word, table, 12), font_names(part(word, table, 15)), []
+    if len(plc) < 12 or (len(plc) - 4) % 8:
+        return []
+    n = (len(plc) - 4) // 8
+    for pn in struct.unpack_from(f"<{n}I", plc, (n + 1) * 4):
+        page_ = word[pn * 512 : pn * 512 + 512]
+        runs = page_[511] if len(page_) == 512 else 0
+        base = (runs + 1) * 4
+        if not runs or base + runs > 511:
+            continue
+        ends = struct.unpack_from(f"<{runs + 1}I", page_)
+        for j in range(runs):
+            at = page_[base + j] * 2
+            style = _properties(page_[at + 1 : at + 1 + page_[at]], fonts) if 0 < at < 511 and at + 1 + page_[at] <= 511 else DEFAULT
+            out.append((ends[j], ends[j + 1], style))
+    return sorted(out, key=lambda r: r[0])
+
+
+def styled(word: bytes, table: bytes) -> tuple[str, list[tuple]]:
+    """The text of all pieces and the style of each character: the last run that begins at or before its place."""
+    runs = style_runs(word, table)
+    starts = [r[0] for r in runs]
+    text, styles = [], []
+    for at, n, narrow in pieces(word, table):
+        raw = word[at : at + n * (1 if narrow else 2)]
+        chars = raw.decode("latin-1") if narrow else "".join(chr(u) if not 0xD800 <= u < 0xE000 else "\ufffd" for (u,) in struct.iter_unpack("<H", raw[: len(raw) // 2 * 2]))
+        text.append(chars)
+        for k in range(len(chars)):
+            place = at + k * (1 if narrow else 2)
+            i = bisect_right(starts, place) - 1
+            styles.append(runs[i][2] if i >= 0 and place < runs[i][1] else DEFAULT)
+    return "".join(text), styles
 
 
 def raw_text(word: bytes) -> str:
@@ -55,17 +142,17 @@ def raw_text(word: bytes) -> str:
     return (text or "".join("\n" if b in (10, 13) else chr(b) if 0x20 <= b < 0x7F else "" for b in word)).strip()
 
 
-def paragraphs_of(text: str) -> list[Paragraph]:
+def paragraphs_of(text: str, styles: list[tuple] | None = None) -> list[Paragraph]:
     """Paragraph ends, page breaks and cell marks; a second cell mark in a row ends the row, two plain paragraph ends
     part one table from the next."""
-    out, here = [], ""
+    out: list[Paragraph] = []
+    here: list[dict] = []
     table = serial = row = column = first = breaks = 0
     apart = False
 
     def close() -> None:
-        nonlocal here
-        out.append(Paragraph(runs=[run(here, size=11.0)] if here else []))
-        here = ""
+        out.append(Paragraph(runs=list(here)))
+        here.clear()
 
     for i, c in enumerate(text):
         if c == "\f":
@@ -91,7 +178,11 @@ def paragraphs_of(text: str) -> list[Paragraph]:
             row, column = (row + 1, 0) if last else (row, column + 1)
             first = len(out)
         elif c == "\t" or c >= " ":
-            here += c
+            font, size, color = styles[i] if styles else DEFAULT
+            if here and (here[-1]["font"], here[-1]["size"], here[-1]["color"]) == (font, size, color):
+                here[-1]["text"] += c
+            else:
+                here.append(run(c, None, font, size, color))
             breaks = 0
     if here:
         close()
@@ -115,6 +206,13 @@ def page_count(summary: bytes) -> int:
     return 0
 
 
+def anchor(plc: bytes, main: int) -> int:
+    """The first place to which a drawing is anchored, or 0."""
+    n = (len(plc) - 4) // 30
+    spots = [cp for cp in struct.unpack_from(f"<{n}I", plc) if cp < main] if n > 0 else []
+    return min(spots, default=0)
+
+
 def parse(data: bytes) -> dict:
     head = data.strip()
     if head.startswith((b"<!DOCTYPE html", b"<html")):
@@ -128,16 +226,24 @@ def parse(data: bytes) -> dict:
     word = streams.get("WordDocument", b"")
     second = len(word) > 12 and struct.unpack_from("<H", word, 10)[0] & 0x0200
     table = streams.get("1Table" if second else "0Table", b"")
-    text = piece_text(word, table)
+    text, styles = styled(word, table)
     if text:
-        # the main story comes first; notes, headers and boxes follow it
-        main = struct.unpack_from("<I", word, 76)[0] if len(word) >= 80 else 0
-        paragraphs = paragraphs_of(text[:main] if 0 < main < len(text) else text)
-        return document("doc", "layout-estimated", paginate(paragraphs, Options(target_pages=max(0, page_count(streams.get("\x05SummaryInformation", b""))))))
+        story = lambda at: struct.unpack_from("<I", word, at)[0] if len(word) >= at + 4 else 0
+        main = story(76) if 0 < story(76) <= len(text) else len(text)
+        pages = paginate(paragraphs_of(text[:main], styles[:main]), Options(target_pages=max(0, page_count(streams.get("\x05SummaryInformation", b"")))))
+        # text boxes follow the notes, headers and comments; they stand before the text of the page of the first anchor
+        box = main + sum(story(at) for at in range(80, 97, 4))
+        inside = text[box : box + story(100)] if main < len(text) else ""
+        if inside.strip():
+            over = paginate(paragraphs_of(inside, styles[box : box + len(inside)]), Options(target_pages=1))[0]
+            pg = pages[min(len(pages) - 1, anchor(part(word, table, 40), main) * len(pages) // main)]
+            pg["runs"] = over["runs"] + pg["runs"]
+            pg["text"] = over["text"] + ("\n" if over["text"] and pg["text"] else "") + pg["text"]
+        return document("doc", "layout-estimated", pages)
     pages = []
-    for part in "".join(_DROPPED.get(c, c if c >= " " or c == "\n" else "") for c in raw_text(word)).split("\f"):
+    for piece in "".join(_DROPPED.get(c, c if c >= " " or c == "\n" else "") for c in raw_text(word)).split("\f"):
         pg = page(len(pages) + 1)
-        pg["text"] = part.strip()
+        pg["text"] = piece.strip()
         pg["runs"] = [run(pg["text"], size=11.0)] if pg["text"] else []
         pages.append(pg)
     return document("doc", "layout-estimated", pages)

@@ -7,7 +7,7 @@ import re
 import zlib
 from dataclasses import dataclass, field
 
-from ..operators.grid import Style, detect, lines_by_gap, page_text
+from ..operators.grid import MOST_CELLS, Style, build, classify, connected, detect, lines_by_gap, merge_rules, page_text
 from .common import FormatError, document, image, page, rect, run
 
 STREAM_LIMIT, MOST_INNER, DEEPEST = 256 << 20, 100_000, 1000
@@ -300,9 +300,43 @@ class Reader:
         return out
 
 
-def read_text(toks: list, fonts: dict[str, Font]) -> list[dict]:
-    """Runs in stream order. Advance is half the size per character; only clips that are empty hide text."""
+def clip_tables(runs: list[dict], clips: list[tuple | None], segments: list[tuple]) -> tuple[list[dict], list[set[int]]]:
+    """Tables without ruled cells, from the clip rectangles around their texts: those that hold their run's centre and
+    no smaller one, connected, at least four in two rows and 2 to 20 columns, with two rules across and one inside."""
+    t = STYLE.tolerance
+    cells: list[tuple] = []
+    for r, c in zip(runs, clips, strict=True):
+        if c and c[2] >= 8 and c[3] >= 6:
+            b, box = r["bounds"], (c[0], c[1], c[0] + c[2], c[1] + c[3])
+            x, y = b["x"] + b["width"] / 2, b["y"] + b["height"] / 2
+            inside = box[0] - t <= x <= box[2] + t and box[1] - t <= y <= box[3] + t
+            if inside and not any(all(abs(p - q) <= t for p, q in zip(box, o)) for o in cells):
+                cells.append(box)
+    area = lambda c: (c[2] - c[0]) * (c[3] - c[1])
+    holds = lambda a, b: a[0] <= b[0] + t and a[1] <= b[1] + t and a[2] >= b[2] - t and a[3] >= b[3] - t
+    cells = [c for c in cells if not any(o is not c and area(c) > 1.5 * area(o) and holds(c, o) for o in cells)]
+    rules = [r for s in segments if (r := classify(s, t))]
+    across, down = (merge_rules([r[1:] for r in rules if r[0] == k], STYLE) for k in "hv")
+    tables, inside_ = [], []
+    for group in connected(cells, t) if len(cells) <= MOST_CELLS else []:
+        if len(group) < 4:
+            continue
+        table, own = build(group, runs, STYLE)
+        b = table["bounds"]
+        left, low, right, high = b["x"], b["y"], b["x"] + b["width"], b["y"] + b["height"]
+        wide = max((c["column"] + c["col_span"] for r in table["rows"] for c in r["cells"]), default=0)
+        ruled = sum(low - t <= h[0] <= high + t and h[1] <= left + t and h[2] >= right - t for h in across) >= 2
+        parted = any(left + t < v[0] < right - t and min(v[2], high) - max(v[1], low) >= min(b["height"] / 4, 12) for v in down)
+        if len(table["rows"]) >= 2 and 2 <= wide <= 20 and sum(len(r["cells"]) >= 2 for r in table["rows"]) >= 2 and ruled and parted:
+            tables.append(table)
+            inside_.append(own)
+    return tables, inside_
+
+
+def read_text(toks: list, fonts: dict[str, Font]) -> tuple[list[dict], list[tuple | None]]:
+    """Runs in stream order and the clip of each. Advance is half the size per character; only clips that are empty hide text."""
     runs: list[dict] = []
+    around: list[tuple | None] = []
     size, scale, font, color, x, y = 12.0, 1.0, Font(), "#000000", 0.0, 0.0
     clip: tuple | None = None
     pending: tuple | None = None
@@ -322,6 +356,7 @@ def read_text(toks: list, fonts: dict[str, Font]) -> list[dict]:
         hidden = clip and (clip[2] < 1 or clip[3] < 1) and (x + w < clip[0] or x > clip[0] + clip[2] or y < clip[1] or y - eff > clip[1] + clip[3])
         if not hidden:
             runs.append(run(text, b, font.name, eff, color))
+            around.append(clip)
         x += w
 
     for i, t in enumerate(toks):
@@ -363,7 +398,7 @@ def read_text(toks: list, fonts: dict[str, Font]) -> list[dict]:
                     show(part)
                 else:
                     x -= _num(part) / 1000 * size * scale
-    return runs
+    return runs, around
 
 
 def read_segments(toks: list) -> list[tuple[float, float, float, float]]:
@@ -404,8 +439,11 @@ def parse(data: bytes) -> dict:
         pg = page(len(pages) + 1, box[2] - box[0] if len(box) >= 4 else 595, box[3] - box[1] if len(box) >= 4 else 842)
         res = reader.resources(o)
         toks = tokens(reader.content(o))
-        pg["runs"] = read_text(toks, reader.fonts(res))
-        pg["tables"], inside = detect(pg["runs"], read_segments(toks), STYLE)
+        pg["runs"], clips = read_text(toks, reader.fonts(res))
+        segments = read_segments(toks)
+        pg["tables"], inside = detect(pg["runs"], segments, STYLE)
+        if not pg["tables"]:
+            pg["tables"], inside = clip_tables(pg["runs"], clips, segments)
         pg["text"] = page_text(pg["runs"], pg["tables"], inside, lines_by_gap)
         pg["images"] = reader.images(res)
         pages.append(pg)

@@ -5,8 +5,9 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+from ..operators.grid import tsv_of
 from . import cfb
-from .common import FormatError, document, page, run
+from .common import FormatError, cell, document, page, rect, run, union
 from .officeart import images
 
 DEEPEST = 200
@@ -45,6 +46,86 @@ def _collect(data: bytes, pg: dict, depth: int = 0) -> None:
             _collect(b, pg, depth + 1)
 
 
+#: Record types of drawings.
+GROUP, SHAPE, ANCHOR, TEXT_BOX, TABLE_PROPERTIES, TABLE_FLAG = 0xF003, 0xF004, 0xF00F, 0xF00D, 0xF122, 0x039F
+
+
+def _below(data: bytes, depth: int = 0) -> Iterator[tuple[int, int, bytes]]:
+    """(kind, instance, content) of all records, containers before what they hold."""
+    if depth > DEEPEST:
+        return
+    for version, instance, kind, b in records(data):
+        yield kind, instance, b
+        if version == 0xF:
+            yield from _below(b, depth + 1)
+
+
+def _is_table(shape: bytes) -> bool:
+    for kind, count, b in _below(shape):
+        if kind == TABLE_PROPERTIES:
+            for key, value in struct.iter_unpack("<HI", b[: min(count, len(b) // 6) * 6]):
+                if key & 0x3FFF == TABLE_FLAG and value & 1:
+                    return True
+    return False
+
+
+def _box(shape: bytes) -> dict | None:
+    for kind, _, b in _below(shape):
+        if kind == ANCHOR and len(b) >= 16:
+            left, top, right, low = (v / 8 for v in struct.unpack_from("<4i", b))
+            return rect(left, top, right - left, low - top) if right > left and low > top else None
+    return None
+
+
+def _table(group: bytes) -> dict | None:
+    """A group whose first shape is marked as a table: text shapes become cells, their distinct left and upper edges
+    the columns and rows."""
+    parts = list(records(group))
+    if len(parts) < 2 or parts[0][2] != SHAPE or not _is_table(parts[0][3]):
+        return None
+    made = []
+    for _, _, kind, b in parts[1:]:
+        box = _box(b) if kind == SHAPE else None
+        if box and any(k == TEXT_BOX for k, _, _ in _below(b)):
+            pg = page(0)
+            _collect(b, pg)
+            made.append((box, pg["text"], [{**r, "bounds": dict(box)} for r in pg["runs"]]))
+    if not made:
+        return None
+    xs, ys = (sorted({m[0][k] for m in made}) for k in "xy")
+    span = lambda edges, a, size: max(1, sum(a <= e < a + size for e in edges))
+    rows: list[dict] = [{"cells": []} for _ in ys]
+    bounds = made[0][0]
+    for box, text, runs in made:
+        i, j = ys.index(box["y"]), xs.index(box["x"])
+        rows[i]["cells"].append(cell(i, j, text, span(ys, box["y"], box["height"]), span(xs, box["x"], box["width"]), box, runs))
+        bounds = union(bounds, box)
+    for r in rows:
+        r["cells"].sort(key=lambda c: c["column"])
+    return {"bounds": bounds, "rows": rows}
+
+
+def _tables(data: bytes, depth: int = 0) -> list[dict]:
+    out = []
+    for version, _, kind, b in records(data):
+        table = _table(b) if kind == GROUP else None
+        if table:
+            out.append(table)
+        elif version == 0xF and depth < DEEPEST:
+            out += _tables(b, depth + 1)
+    return out
+
+
+def _put_table(pg: dict, table: dict) -> None:
+    """The table's cells one below the other in the text give way to its rows; else the rows are added."""
+    rows, flat = tsv_of(table), "\n".join(c["text"].strip() for r in table["rows"] for c in r["cells"])
+    pg["tables"].append(table)
+    if flat and flat in pg["text"]:
+        pg["text"] = pg["text"].replace(flat, rows, 1)
+    elif rows and rows not in pg["text"]:
+        _add(pg, rows)
+
+
 def _slides(data: bytes, size: tuple[float, float]) -> list[dict]:
     out, at = [], 0
     while at + 8 <= len(data):
@@ -54,6 +135,8 @@ def _slides(data: bytes, size: tuple[float, float]) -> list[dict]:
             body = data[at + 8 : at + 8 + n]
             _collect(body, pg)
             pg["images"] = images(body)
+            for table in _tables(body):
+                _put_table(pg, table)
             out.append(pg)
             at += 8 + n
         else:
@@ -96,6 +179,8 @@ def parse(data: bytes) -> dict:
                 if r["text"].strip() and r["text"].strip() not in pg["text"]:
                     _add(pg, r["text"])
             pg["images"] += extra["images"]
+            for table in extra["tables"]:
+                _put_table(pg, table)
     if not pages:
         pg = page(1, *size, "Slide 1")
         _collect(content, pg)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..formats.common import document, image, page
 from ..functions.columns import FORMATS
 from ..operators import normalize as rules
 from ..operators.tsv import table_tsv
@@ -31,18 +32,29 @@ def normalized(doc: dict) -> dict:
     return doc
 
 
+#: Pictures are documents of one page where there is a recognizer; else they are skipped.
+IMAGES = (".png", ".jpg", ".jpeg")
+
+
+def picture(path: str, data: bytes) -> dict:
+    pg = page(1)
+    pg["images"] = [image(path, data)]
+    return document(posixpath.splitext(path)[1][1:].lower(), "single-flow", [pg])
+
+
 def parse(path: str, data: bytes | None, normalize: bool = True, recognize: Callable[[dict], None] | None = None) -> dict:
     """One document row. Unknown extensions are skipped; a parser error or any other failure on a file makes the row
     failed, without pages; it never ends the job. recognize(document) may add text to pages before normalization."""
     row = {"path": path, "format": None, "pagination": None, "status": "skipped", "error": None, "pages": []}
-    fmt = FORMATS.get(posixpath.splitext(path or "")[1].lower())
+    ext = posixpath.splitext(path or "")[1].lower()
+    fmt = FORMATS.get(ext) or (ext[1:] if recognize and ext in IMAGES else None)
     if fmt is None:
         return row | {"error": "unsupported file format"}
     row |= {"format": fmt, "status": "failed"}
     if data is None:
         return row | {"error": "no content"}
     try:
-        doc = import_module(f"foliary.formats.{fmt}").parse(bytes(data))
+        doc = picture(path, bytes(data)) if ext in IMAGES else import_module(f"foliary.formats.{fmt}").parse(bytes(data))
         if recognize:
             recognize(doc)
         if normalize:

@@ -77,3 +77,40 @@ def test_small_parts():
     assert sniff(b"GIF89a") == "gif" and sniff(b"") == ""
     assert text_of("<head>x</head>a<br>b<td>c</td>d<p></p>\n\n\n<p>e &amp; f</p>") == "a\nbc\td\n\ne & f"
     assert cfb.read(cfb.write({"A": b"one", "B": b"two" * 3000}))["B"][:9000] == b"two" * 3000
+
+
+def test_word_styles():
+    assert doc._properties(bytes.fromhex("434A 1C00 7068 FF000000 4F4A 0000".replace(" ", "")), ["Arial"]) == ("Arial", 14.0, "#FF0000")
+    assert doc._properties(b"\x43", []) == doc.DEFAULT and doc.style_runs(b"", b"") == []
+    p = doc.paragraphs_of("ab\r", [("X", 9.0, "#000000"), doc.DEFAULT, doc.DEFAULT])
+    assert [(r["text"], r["font"]) for r in p[0].runs] == [("a", "X"), ("b", "")]
+
+
+def test_legacy_slide_table():
+    import struct
+
+    from foliary.formats import ppt
+
+    rec = lambda kind, b, version=0, instance=0: struct.pack("<HHI", version | instance << 4, kind, len(b)) + b
+    shape = lambda x, y, t: rec(0xF004, rec(0xF00F, struct.pack("<4i", x, y, x + 80, y + 40)) + rec(0xF00D, rec(4000, t.encode("utf-16-le")), 15), 15)
+    head = rec(0xF004, rec(0xF122, struct.pack("<HI", 0x039F, 1), 0, 1), 15)
+    group = rec(0xF003, head + shape(0, 0, "a") + shape(80, 0, "b") + shape(0, 40, "c") + shape(80, 40, "d"), 15)
+    d = ppt.parse(cfb.write({"PowerPoint Document": rec(1006, group, 15)}))
+    assert d["pages"][0]["text"] == "a\tb\nc\td" and len(d["pages"][0]["tables"]) == 1
+
+
+def test_clip_table():
+    ops = ["q 0 0 200 1 re n Q", "0 100 m 200 100 l S 0 40 m 200 40 l S 100 40 m 100 100 l S"]
+    for i, row in enumerate((("a", "b"), ("c", "d"))):
+        for j, t in enumerate(row):
+            ops.append(f"q {j * 100} {70 - i * 30} 100 30 re W n BT /F1 10 Tf 1 0 0 1 {j * 100 + 5} {90 - i * 30} Tm ({t}) Tj ET Q")
+    runs, clips = pdf.read_text(pdf.tokens(" ".join(ops)), {})
+    tables, inside = pdf.clip_tables(runs, clips, pdf.read_segments(pdf.tokens(" ".join(ops))))
+    assert [[c["text"] for c in r["cells"]] for r in tables[0]["rows"]] == [["a", "b"], ["c", "d"]] and inside == [{0, 1, 2, 3}]
+
+
+def test_pictures_need_a_recognizer():
+    png = b"\x89PNG\r\n\x1a\n" + b"\0" * 8 + b"\0\0\0\5\0\0\0\6"
+    assert parse("a.png", png)["status"] == "skipped"
+    d = parse("a.PNG", png, recognize=lambda d: d["pages"][0].update(text="关 于"))
+    assert d["status"] == "ok" and d["pages"][0]["text"] == "关于"
