@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Where the public tokenizer files are looked for when no path is given.
@@ -45,11 +45,15 @@ def tokenizer_path(name: str, path: str | None = None) -> str:
     raise FileNotFoundError(name)
 
 
-def sample(df: DataFrame, key: str, text: str, size: int) -> list[str]:
+def sample(df: DataFrame, key: str, text: str, size: int, n: int | None = None, where: Column | None = None) -> list[str]:
     """Texts of about `size` rows (at most twice as many), chosen by the hash of their key; all rows if there are no
-    more. Null texts are left out. Only the chosen rows reach the driver."""
-    rows = df.where(F.col(text).isNotNull()).select(F.xxhash64(key).alias("h"), F.col(text).alias("t"))
-    n = rows.count()
+    more. Null texts are left out, and rows that don't meet `where`; n: their number, if known. Only the chosen rows
+    reach the driver."""
+    keep = F.col(text).isNotNull() if where is None else F.col(text).isNotNull() & where
+    n = df.where(keep).count() if n is None else n
+    rows = df
     if n > size:
-        rows = rows.where(F.pmod("h", F.lit(1 << 30)) < int(size / n * (1 << 30)))
+        # the cheap test first
+        rows = rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(size / n * (1 << 30)))
+    rows = rows.where(keep).select(F.xxhash64(key).alias("h"), F.col(text).alias("t"))
     return [r.t for r in sorted(rows.limit(2 * size).collect(), key=lambda r: (r.h, r.t))]
