@@ -131,7 +131,7 @@ _markup = re.compile(r"</?\w+:\w+|\bT[jd] ET\b|\bBT /F\d")
 _hex = re.compile(r"\b(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{24,}\b")
 _repeated = re.compile(r"([^\s._·…—-])\1{11,}|(?:(\S{1,3} ?)\2{7,})")
 _consonants = re.compile(r"(?i)\b[b-df-hj-np-tv-xz]{2,}\b")
-_item = re.compile(r"\s*(?:[•·∙▪◦‣●○■□*–—-]\s|\[[ xX✓]?\]|\(?\d{1,3}[.)、）]\s?(?!\d)|[a-zA-Z][.)]\s|\d{1,2}(?:\.\d{1,2}){1,3}\s)")
+_item = re.compile(r"\s*(?:[•·∙▪◦‣●○■□*–—-]\s|\[[ xX✓]?\]|\(?\d{1,3}[.)、）]\s?(?!\d)|[a-zA-Z]\)\s|\d{1,2}(?:\.\d{1,2}){1,3}\s)")
 _pair = re.compile(r"\s*[^:：.!?。\t]{2,40}[:：]\s?(?:\S[^.!?。！？]{0,60}|\S*[\d.,-]+\S*)$")
 _abbreviated = re.compile(r"\s*[^:：!?。\t]{2,40}[:：]\s?\S{1,24}(?:\s\S{1,12}){0,3}$")
 _codes = re.compile(r"\([^()\s]{3,20}\)[,;]?\s*$")
@@ -143,9 +143,9 @@ def line_kind(line: str) -> str:
     if line.isspace() or not line:
         return "blank"
     end = line.rstrip()[-1]
-    if end.isdigit() and ("…" in line or "__" in line or ". ." in line or "..." in line or "·" in line) and _leaders.search(line):
+    if end.isdigit() and line.lstrip()[0] not in "._·…" and ("…" in line or "__" in line or ". ." in line or "..." in line or "·" in line) and _leaders.search(line):
         return "list"
-    if line.count("\t") > 1:
+    if line.count("\t") > 1 or ("   " in line and len(_gap.findall(line)) > 1):
         return "table"
     dense = "".join(line.split())
     n = len(dense)
@@ -173,6 +173,7 @@ def line_kind(line: str) -> str:
     return "prose"
 
 
+_gap = re.compile(r"\S {3,}(?=\S)")
 _lines = re.compile(r"\r\n|\r|\n")
 
 
