@@ -145,7 +145,7 @@ def line_kind(line: str) -> str:
     end = line.rstrip()[-1]
     if end.isdigit() and line.lstrip()[0] not in "._·…" and ("…" in line or "__" in line or ". ." in line or "..." in line or "·" in line) and _leaders.search(line):
         return "list"
-    if line.count("\t") > 1 or ("   " in line and len(_gap.findall(line)) > 1):
+    if line.count("\t") > 1 or ("   " in line and len(_gap.findall(line)) > 1) or (line.count(" | ") > 1 and len(_bars.findall(line)) > 1):
         return "table"
     dense = "".join(line.split())
     n = len(dense)
@@ -173,6 +173,7 @@ def line_kind(line: str) -> str:
     return "prose"
 
 
+_bars = re.compile(r"[^\W_][)%.€]? \| (?=[\w(-]|$|\|)")
 _gap = re.compile(r"\S {3,}(?=\S)")
 _lines = re.compile(r"\r\n|\r|\n")
 
