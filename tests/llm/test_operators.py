@@ -68,6 +68,30 @@ def test_repair(spark):
     assert got[1000] == "Die Fähre öffnete zwei Säcke." and got[1001].startswith("因为送往") and got[1003] == "zwei Säcke" and got[1002] is None
 
 
+ROLES = ["护士", "厨师", "园丁", "邮递员", "面包师", "司机", "妹妹", "检查员"], ["关上了大门", "弄丢了篱笆", "买下了面包", "擦干净了名单", "修好了轮子", "看见了屋顶", "装满了台灯", "带来了钥匙"], ["新来的同事", "我们的小组", "负责人", "监督管理机构", "计量校准试验所", "排水工程联合体"]
+
+
+def sentences_of(n):
+    a, b, c = ROLES
+    return [f"因为送往青云的货物晚了{i}天，{a[i % 8]}和{c[i % 6]}只好{b[i // 8 % 8]}。" for i in range(n)]
+
+
+def turnable(texts, read, written):
+    """(text, garbled text) of the texts that every byte of can be read so, without broken characters."""
+    pairs = [(t, t.encode(written).decode(read, "replace")) for t in texts]
+    return [(t, g) for t, g in pairs if not encoding.BROKEN.search(g)]
+
+
+def test_garbled_wide_text_teaches_nothing(spark):
+    good = sentences_of(900)
+    bad = [g for _, g in turnable([t[12:] for t in good], "big5hkscs", "gb18030")[:20]]
+    assert len(bad) == 20
+    schema = "run_id long, text string"
+    both, alone = (encoding.train(frame(spark, list(enumerate(t)), schema), "text") for t in (good + bad, good))
+    assert both[1] == alone[1] == 900
+    assert (both[0].count == alone[0].count).all() and (both[0].pairs == alone[0].pairs).all()
+
+
 def test_repair_of_nothing(spark):
     df = frame(spark, [], "run_id long, text string")
     assert encoding.repair(df, *encoding.fitted(df, "run_id", "text")).count() == 0
