@@ -76,12 +76,30 @@ def sentences_of(n):
     return [f"因为送往青云的货物晚了{i}天，{a[i % 8]}和{c[i % 6]}只好{b[i // 8 % 8]}。" for i in range(n)]
 
 
+def turned(t, read, written):
+    return t.encode(written).decode(read)
+
+
 def turnable(texts, read, written):
     """(text, garbled text) of the texts that every byte of can be read so, without broken characters."""
     pairs = [(t, t.encode(written).decode(read, "replace")) for t in texts]
     return [(t, g) for t, g in pairs if not encoding.BROKEN.search(g)]
 
 
+def test_repair_of_wide_text_read_as_wide_text(spark):
+    """Wholly garbled runs, so many that they teach a model that counts them, and stretches within clean runs."""
+    big = turnable([t[12:] for t in sentences_of(1400)[900:]], "big5hkscs", "gb18030")[:20]
+    assert len(big) == 20
+    rows = list(enumerate(sentences_of(900))) + [(2000 + i, g) for i, (_, g) in enumerate(big)]
+    parts = {4000: ("关上了大门", "big5hkscs", "gb18030"), 4001: ("护士厨师", "gb18030", "utf-8"), 4002: ("擦干净了名单", "cp1252", "gb18030")}
+    rows += [(k, f"因为送往青云的货物晚了7天，护士只好{turned(*p)}。") for k, p in parts.items()]
+    df = frame(spark, rows, "run_id long, text string")
+    got = {r.run_id: r.restored for r in encoding.repair(df, *encoding.fitted(df, "run_id", "text")).collect()}
+    assert set(got) == {k for k, _ in rows if k >= 2000}
+    assert all(got[2000 + i] == t for i, (t, _) in enumerate(big))
+    assert got[4000] == "因为送往青云的货物晚了7天，护士只好关上了大门。"
+
+
 def test_garbled_wide_text_teaches_nothing(spark):
     good = sentences_of(900)
     bad = [g for _, g in turnable([t[12:] for t in good], "big5hkscs", "gb18030")[:20]]
