@@ -215,6 +215,16 @@ def paginate_auto(spark, sf_dir):
     """Pages of documents whose lines don't wrap, by the layout operator: 50 lines of 13.75 points on A4."""
     d = table(spark, sf_dir, "documents").where((F.col("text") != "") & ~F.col("text").rlike(r"[^\n]{79}") & ~F.col("text").rlike(r"[^\x00-\x7f]") & ~F.col("text").contains("\r") & ~F.col("text").contains("\t"))
 
+    return _pages_of(d)
+
+
+@query()
+def paginate_auto_all(spark, sf_dir):
+    """Pages of all documents with text, whose lines may wrap and be of any script; SQL can't wrap lines."""
+    return _pages_of(table(spark, sf_dir, "documents").where("text <> ''"))
+
+
+def _pages_of(d: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             yield pd.DataFrame({"doc_id": f.doc_id, "pages": [len(paginate([Paragraph(runs=[_run(x)] if x else []) for x in t.split("\n")])) for t in f.text]})

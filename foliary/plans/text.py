@@ -140,6 +140,12 @@ def norm_cells_plain(spark, sf_dir):
     return normalized(c.select("cell_id", F.col("text").alias("_t")), F.col("_t"), cell=True).select("cell_id", F.length("text").alias("before")).distinct()
 
 
+@query()
+def norm_cells_all(spark, sf_dir):
+    """All cells through the post-pass; no SQL can express it."""
+    return normalized(table(spark, sf_dir, "table_cells").select("cell_id", F.col("text").alias("_t")), F.col("_t"), cell=True).select("cell_id", "text").distinct()
+
+
 _HTML_SQL = """SELECT doc_id, text FROM (SELECT doc_id, trim(regexp_replace(list_aggregate(list_transform(string_split(
  replace(replace(regexp_replace(regexp_replace(regexp_replace('<html><head><title>t</title></head><body><p>' || replace(replace(t, '&', '&amp;'), '<', '&lt;') || '</p><br/><b>end</b></body></html>',
  '(?is)<(?:head|style|script|noscript)\\b[^>]*>.*?</(?:head|style|script|noscript)\\s*>', '', 'g'), '(?i)<br\\s*/?>|</(?:p|div|li|tr|h[1-6])\\s*>', chr(10), 'g'), '<[^>]+>', '', 'g'),
@@ -151,6 +157,16 @@ _HTML_SQL = """SELECT doc_id, text FROM (SELECT doc_id, trim(regexp_replace(list
 def html_text(spark, sf_dir):
     """Text of pages built from plain documents, in Catalyst expressions."""
     d = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[ -~\n]*$") & ~F.col("text").contains("&") & ~F.col("text").contains(">"))
+    return _from_page(d)
+
+
+@query()
+def html_text_all(spark, sf_dir):
+    """The same for all documents, whatever their script and marks; SQL can't trim and unescape all of them."""
+    return _from_page(table(spark, sf_dir, "documents"))
+
+
+def _from_page(d: DataFrame) -> DataFrame:
     t = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     page = F.concat(F.lit("<html><head><title>t</title></head><body><p>"), t, F.lit("</p><br/><b>end</b></body></html>"))
     return d.select("doc_id", C.html_text(page).alias("text"))
@@ -179,6 +195,12 @@ def flatten_cell(spark, sf_dir):
     return d.select("doc_id", C.flatten_cell(F.col("text")).alias("text"))
 
 
+@query()
+def flatten_cell_all(spark, sf_dir):
+    """All documents on one line each, with every kind of space; DuckDB's trim doesn't know them."""
+    return table(spark, sf_dir, "documents").select("doc_id", C.flatten_cell(F.col("text")).alias("text"))
+
+
 @query("SELECT n_regionkey, string_agg(n_nationkey || chr(9) || n_name || chr(9), chr(10) ORDER BY n_nationkey) AS tsv FROM nation GROUP BY n_regionkey")
 def table_tsv_query(spark, sf_dir):
     """Tables of three columns, the third without cells in any row but spanned by the second."""
