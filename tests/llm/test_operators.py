@@ -110,6 +110,48 @@ def test_garbled_wide_text_teaches_nothing(spark):
     assert (both[0].count == alone[0].count).all() and (both[0].pairs == alone[0].pairs).all()
 
 
+WORDS_OF = ["Die Fähre öffnete zwei Säcke und schloss die Türen", "Die Müllerin grüßte den Bäcker am schönen Flüsschen", "El camión llegó mañana a la estación", "Le garçon a mangé où la forêt brûlait déjà"]
+TURNED = [("cp850", "utf-8"), ("cp1250", "utf-8"), ("mac_roman", "utf-8"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("mac_roman", "cp1252")]
+
+
+def test_product_of_codecs(spark):
+    """Every text of the list garbled by every chain, among clean runs that hold the same words."""
+    good = [f"{t} {i}" for i in range(60) for t in WORDS_OF]
+    bad = {5000 + 10 * k + n: (t, turned(t, *c)) for k, c in enumerate(TURNED) for n, t in enumerate(WORDS_OF)}
+    rows = list(enumerate(good)) + [(k, g) for k, (_, g) in bad.items()] + [(9000, turned(turned(WORDS_OF[0], "cp1252", "utf-8"), "cp1252", "utf-8"))]
+    ref = frame(spark, [(t,) for t in good], "text string")
+    df = frame(spark, rows, "run_id long, text string")
+    got = {r.run_id: r.restored for r in encoding.repair(df, *encoding.fitted(df, "run_id", "text", ref)).collect()}
+    assert set(got) == set(bad) | {9000}
+    assert all(got[k] == t for k, (t, _) in bad.items()) and got[9000] == WORDS_OF[0]
+
+
+def test_swapped_bytes_with_blanks_kept(spark):
+    good = sentences_of(300) + [f"{t} {i}" for i in range(60) for t in WORDS_OF]
+    swap = lambda t: "".join(c if c == " " else c.encode("utf-16-be").decode("utf-16-le") for c in t)
+    bad = {7000: WORDS_OF[0].replace("ß", "ss"), 7001: good[5], 7002: "A4 12.50 EUR 1749.00"}
+    df = frame(spark, list(enumerate(good)) + [(k, swap(t)) for k, t in bad.items()], "run_id long, text string")
+    got = {r.run_id: r.restored for r in encoding.repair(df, *encoding.fitted(df, "run_id", "text", frame(spark, [(t,) for t in good + ["Paper A4 12.50 EUR 1749.00 kg"] * 9], "text string"))).collect()}
+    assert got == bad
+
+
+def test_files_and_fonts(spark):
+    """One short run is judged by its file; the map of a font restores codes; codes without a map are found in groups."""
+    good = [f"{t} {i}" for i in range(80) for t in WORDS_OF] + [PROSE] * 40
+    code = str.maketrans("abcdefghijklmnopqrstuvwxyz", "nKt7WbF3sQ0TwkL8Iq5yHzcX1v")
+    lines = ["the gate keeper of the town was in the yard", "it was late and the lamp was on", "the lamp of the gate was in the town"]
+    rows = [(i, "a.pdf", "F", t) for i, t in enumerate(good)]
+    rows += [(3000, "b.pdf", "F", turned(WORDS_OF[2], "mac_roman", "cp1252")), (3001, "b.pdf", None, turned("año", "mac_roman", "cp1252")), (3002, "a.pdf", "F", "año"), (3003, None, None, "año")]
+    rows += [(4000 + k, "c.pdf", "G", t.translate(code)) for k, t in enumerate(lines)] + [(5000 + k, "d.pdf", None, t.translate(code)) for k, t in enumerate(lines)] + [(6000, "a.pdf", "F", "gahqjSsCzCUPuh1a3FaWknTbdYBJImKQGicCrZOCE0xjWdCr0cnyRR4S")]
+    df = frame(spark, [*rows, rows[-1], (7000, None, None, None), (7001, "x", "y", "")], "run_id long, path string, font string, text string")
+    fonts = frame(spark, [("c.pdf", "G", {f"{v:04X}": chr(k) for k, v in code.items()}), ("c.pdf", "H", None), ("a.pdf", "F", {"0041": "A"})], "path string, font string, cmap map<string,string>")
+    model = encoding.fitted(df, "run_id", "text", frame(spark, [(t,) for t in good], "text string"))
+    got = {r.run_id: (r.chain, r.restored) for r in encoding.repair(df, *model, "run_id", "text", "path", "font", fonts).collect()}
+    assert {k for k in got if k < 7002} == {3000, 3001, 4000, 4001, 4002, 5000, 5001, 5002}
+    assert got[3001] == ("mac_roman/cp1252", "año") and [got[4000 + k] for k in range(3)] == [("font map", t) for t in lines]
+    assert all(got[5000 + k] == (None, None) for k in range(3))
+
+
 def test_repair_of_nothing(spark):
     df = frame(spark, [], "run_id long, text string")
     assert encoding.repair(df, *encoding.fitted(df, "run_id", "text")).count() == 0
