@@ -3,11 +3,13 @@
 Spans that may be an item are the nodes of a conditional random field over a record. Each has a potential from features
 of its form, its words and what stands beside it; neighbouring spans are chained, and distant spans that repeat a text
 or share a name's word are joined by skip edges, along which loopy message passing brings their labels into line. The
-word lists (given names, family names) and the weights are learned from reliable places of a bounded sample (SAMPLE).
+word lists (given names, family names) are counted over all records; the weights of features and edges are learned by
+pseudo-likelihood from reliable places of a bounded sample (SAMPLE).
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -19,23 +21,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import records, sample
+from .common import records
 
 SAMPLE = 12_000
-BITS, EPOCHS = 15, 60
-CHAIN, SKIP, SWEEPS = 0.3, 1.5, 4
+#: So many rows are looked through for the sample, by hash.
+LOOKED = 16 * SAMPLE
+BITS, EPOCHS, SWEEPS = 15, 60, 4
+#: A word is a name if it was seen so often, and makes this share of all sightings of its list.
+SEEN, SHARE = 2, 1 / 20_000
 TYPES = ("email", "phone", "id_number", "address", "name")
 #: One-to-one stand-ins, so that places in the text stay the same.
 _plain = {i: i - 0xFEE0 for i in range(0xFF01, 0xFF5F)} | dict.fromkeys([0xA0, 0x2000, *range(0x2002, 0x200B), 0x202F, 0x205F, 0x3000], 32) | {0x2011: 45, 0x2010: 45}
 _odd = re.compile("[\u00a0\u2000-\u2011\u202f\u205f\u3000\uff01-\uff5e]")
 _hidden = re.compile("[­​-‏⁠﻿]")
 _accent = re.compile("[̀-ͯ]")
+_marks = re.compile(f"{_hidden.pattern}|{_accent.pattern}")
 
 U = "A-ZÀ-ÖØ-ÞА-ЯЁ"
 L = "a-zß-öø-ÿа-яё"
 W = f"[{U}][{L}{U}]*(?:[-’'][{U}]?[{L}]+)*"
 EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*(?:@|\s?(?:\(at\)|\[at\])\s?)[A-Za-z0-9-]+(?:(?:\.|\s?(?:\(dot\)|\[dot\])\s?)[A-Za-z0-9-]+)+", re.I)
-NUMBER = re.compile(r"(?<![A-Za-z0-9_./+-])(?:\(?\+\d{1,3}\)?[ .-]?)?(?:\(\d{1,5}\)[ .-]?)?\d[\d .()/-]{5,22}[\dX](?:-?[A-Z])?(?:,?\s(?:ext\.?|x)\s?\d{1,5})?(?![A-Za-z0-9_/]|-\d|-[A-Z]{2}|\.\d)")
+NUMBER = re.compile(r"(?<![A-Za-z0-9_./+<-])(?:\(?\+\d{1,3}\)?[ .-]?)?(?:\(\d{1,5}\)[ .-]?)?\d[\d .()/-]{5,22}[\dX](?:-?[A-Z])?(?:,?\s(?:ext\.?|x)\s?\d{1,5})?(?![A-Za-z0-9_/]|-\d|\n?-\n?[A-Z]{2}|\.\d)")
 NINO = re.compile(r"(?<![\w-])[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D](?![\w-])|(?<![\w-])[XYZ]-?\d{7}-?[A-Z](?![\w-])")
 _town = rf"{W}(?:-{W}){{0,2}}"
 STREETS = "Street|Road|Lane|Close|Mews|Avenue|Way|Drive|Court|Terrace|Crescent|Square|Hill|Row|Walk|Gardens|St|Rd|Ave"
@@ -60,6 +66,8 @@ TRIGGERS = [
     _streets, ("Box ",), ("str.", "straße", "strasse", "gasse", "weg", "allee", "platz", "ring", "damm", "ufer"), ("Am ", "An ", "Im ", "Auf ", "Zum ", "Zur "), ("Postfach",),
     ("ue ", "RUE", "oulevard", "d ", "lace ", "mpasse", "hemin", "llée", "uai ", "oute ", "ours "), ("BP ", "B.P."), ("C/", "Calle", "Avda", "Avenida", "Plaza", "Pza", "Paseo", "P.º", "Ctra", "Camino"), ("Apdo", "partado"), ("г. ", "ул. ", "а/я", "пер. ", "просп. ", "г.\n"), ("号", "组"), ("県", "都", "府", "道"),
 ]
+#: Forms that need letters beyond ASCII.
+BEYOND_ASCII = (9, 10, 11)
 _numbered = {5: re.compile(r"\d(?:[ \n](?:bis|ter|quater))?,?[ \n](?:[Rr]ue|RUE|[Aa]v|[Bb]|[Pp]l|[Ii]mp|[Cc]h|[Aa]ll|[Qq]u|[Rr]ou|[Cc]ou)"), 3: re.compile(r"\d{5}"), 0: re.compile(r"\d[a-zA-Z]?[ \n][A-Z]"), 10: re.compile(r"[路街道巷村] ?\d"), 11: re.compile(r"\d-\d|丁目")}
 #: What leads to an address and is no part of it.
 _lead = re.compile(r"^.*(?:寄往|现住址?|住在|住址[是为]?|地址[是为：:]?|位于|送至|送往|住所[はは：:]?|住于)")
@@ -79,10 +87,10 @@ GATE = r"\d[\d .()/-]{5,}\d|@|\((?i:at)\)|\[(?i:at)\]|\p{Lu}|[a-z]{3}|[\p{IsHan}
 
 def flat(text: str) -> tuple[str, list[int] | None]:
     """The text in plain characters, and the place of each in the original (None: the same)."""
+    if text.isascii():
+        return text, None
     t = text.translate(_plain) if _odd.search(text) else text
-    if t.isascii():
-        return t, None
-    if _hidden.search(t) or _accent.search(t):
+    if _marks.search(t):
         import unicodedata
 
         out, at = [], []
@@ -100,44 +108,50 @@ def flat(text: str) -> tuple[str, list[int] | None]:
     return t, None
 
 
-class Lexicon:
-    """Given and family names seen in reliable places."""
+def sightings(raw: str) -> Iterator[tuple[str, str]]:
+    """(list, word) of the names in the reliable places of a text."""
+    t = flat(raw)[0]
+    for m in LATIN_CUES.finditer(t):
+        n = m.group(1) or m.group(2) or m.group(3)
+        parts = [p for p in re.split(r"[ ,]+", n) if len(p) > 2]
+        if len(parts) == 2:
+            first, last = parts[::-1] if "," in n else parts
+            yield "given", first.lower()
+            yield "family", last.lower()
+    if t.isascii():
+        return
+    for m in ZH_CUES.finditer(t):
+        n = m.group(1) or m.group(2)
+        k = 2 if len(n) == 4 else 1
+        if len(n) > 2:
+            yield "zs", n[:k]
+            yield "zg", n[k:]
+    for m in JA_CUES.finditer(t):
+        n = (m.group(1) or m.group(2)).replace(" ", "")
+        yield "jf", n[:-2]
+        yield "jg", n[-2:]
 
-    def __init__(self, texts: list[str]):
-        given, family, zs, zg, jf, jg = (Counter() for _ in range(6))
-        for raw in texts:
-            t = flat(raw)[0]
-            for m in LATIN_CUES.finditer(t):
-                n = m.group(1) or m.group(2) or m.group(3)
-                parts = [p for p in re.split(r"[ ,]+", n) if len(p) > 2]
-                if len(parts) == 2:
-                    first, last = parts[::-1] if "," in n else parts
-                    given[first.lower()] += 1
-                    family[last.lower()] += 1
-            for m in ZH_CUES.finditer(t):
-                n = m.group(1) or m.group(2)
-                k = 2 if len(n) == 4 else 1
-                if len(n) > 2:
-                    zs[n[:k]] += 1
-                    zg[n[k:]] += 1
-            for m in JA_CUES.finditer(t):
-                n = (m.group(1) or m.group(2)).replace(" ", "")
-                jf[n[:-2]] += 1
-                jg[n[-2:]] += 1
-        often = lambda c: {w for w, n in c.items() if n >= 2}
-        self.family, self.zs, self.jf, self.jg = often(family), often(zs), often(jf), often(jg)
-        self.given = {w for w in often(given) if given[w] >= 0.5 * family[w]}
+
+class Lexicon:
+    """Given and family names seen in reliable places; counts: how often by (list, word)."""
+
+    def __init__(self, counts: dict[tuple[str, str], int]):
+        by: dict[str, Counter] = defaultdict(Counter)
+        for (k, w), n in counts.items():
+            by[k][w] += n
+        often = lambda k: {w for w, n in by[k].items() if n >= max(SEEN, SHARE * by[k].total())}
+        self.family, self.zs, self.jf, self.jg, self.zg = map(often, ("family", "zs", "jf", "jg", "zg"))
+        self.given = {w for w in often("given") if by["given"][w] >= 0.5 * by["family"][w]}
         self.names = self.given | self.family
-        self.zg = {w for w in often(zg)}
-        if self.zs and self.zg:
-            self.zh = re.compile("(?:" + "|".join(sorted(map(re.escape, self.zs), key=len, reverse=True)) + ") ?(?:" + "|".join(sorted(map(re.escape, self.zg), key=len, reverse=True)) + ")")
-        else:
-            self.zh = None
-        self.ja = re.compile("(?:" + "|".join(sorted(map(re.escape, self.jf), key=len, reverse=True)) + ") ?(?:" + "|".join(map(re.escape, sorted(self.jg))) + ")") if self.jf and self.jg else None
+        either = lambda ws: "(?:" + "|".join(sorted(map(re.escape, ws), key=lambda w: (-len(w), w))) + ")"
+        self.zh = re.compile(f"{either(self.zs)} ?{either(self.zg)}") if self.zs and self.zg else None
+        self.ja = re.compile(f"{either(self.jf)} ?{either(self.jg)}") if self.jf and self.jg else None
 
 
-#: Decimal numbers in a row, and numbers of orders.
+#: Dates and addresses of machines; decimal numbers in a row; numbers of orders.
+_date = re.compile(r"\d{4}-\d{1,2}-\d{1,2}|\d{1,2}[./-]\d{1,2}[./-]\d{4}|\d{1,3}(?:\.\d{1,3}){3}|\d{4}/\d{2}")
 _measures, _code = re.compile(r"(?=.*\.)\d{1,5}(?:\.\d{1,2})?(?: \d{1,5}(?:\.\d{1,2})?)*"), re.compile(r"\d/\d{2}-")
+_han = re.compile("[一-鿿]")
 _two_initials = re.compile(r"[А-ЯЁ]\.\s?[А-ЯЁ]\.")
 _after = re.compile(rf"\s((?:[{U}]\.\s?){{0,2}})({W}|[{L}]+(?:-[{L}]+)?)")
 _before = re.compile(rf"({W}|[{U}]{{2,}}),\s$")
@@ -152,21 +166,24 @@ def spans(t: str, lex: Lexicon) -> list[tuple[int, int, str, str]]:
     if _digit.search(t):
         for m in NUMBER.finditer(t) if _digits.search(t) else ():
             s = re.split(r"(?<!ext)\.\s|  ", m.group())[0]
-            if _measures.fullmatch(s) or _code.search(s):
+            if _measures.fullmatch(s) or _code.search(s) or _date.fullmatch(s):
                 continue
             form = re.sub(r"\d+", lambda d: str(len(d.group())), s)
             k = sum(c.isdigit() for c in s)
             if k >= 7:
                 out.append((m.start(), m.start() + len(s), number_type(s, form, k), form))
         out += [(m.start(), m.end(), "id_number", "nino") for m in NINO.finditer(t)]
+        ascii_ = t.isascii()
         for i, p in enumerate(ADDRESS):
-            if any(x in t for x in TRIGGERS[i]) and (i not in _numbered or _numbered[i].search(t)):
+            if ascii_ and i in BEYOND_ASCII:
+                continue
+            if any(map(t.__contains__, TRIGGERS[i])) and (i not in _numbered or _numbered[i].search(t)):
                 for m in p.finditer(t):
                     cut = _lead.match(m.group()) if i > 9 else None
                     out.append((m.start() + (cut.end() if cut else 0), m.end(), "address", f"a{i}"))
     given, family = lex.given, lex.family
     taken = -1
-    hopeful = not lex.names.isdisjoint(_word.findall(t.lower())) or _two_initials.search(t)
+    hopeful = not lex.names.isdisjoint(_word.findall(t.lower())) or (not t.isascii() and _two_initials.search(t))
     for m in _word.finditer(t) if hopeful else ():
         w = m.group()
         low = w.lower()
@@ -196,9 +213,10 @@ def spans(t: str, lex: Lexicon) -> list[tuple[int, int, str, str]]:
             i = re.compile(r"\s[А-ЯЁ]\.\s?[А-ЯЁ]\.").match(t, m.end())
             if i:
                 out.append((m.start(), i.end(), "name", "initials"))
-    if lex.zh is not None and re.search("[一-鿿]", t):
+    han = not t.isascii() and (lex.zh is not None or lex.ja is not None) and _han.search(t)
+    if lex.zh is not None and han:
         out += [(m.start(), m.end(), "name", "zh") for m in lex.zh.finditer(t)]
-    if lex.ja is not None and re.search("[一-鿿]", t):
+    if lex.ja is not None and han:
         out += [(m.start(), m.end(), "name", "ja") for m in lex.ja.finditer(t)]
     return out
 
@@ -239,7 +257,7 @@ def _reliable(t: str, node: tuple[int, int, str, str]) -> int | None:
         if NOT_CUES.search(left):
             return 0
         s = t[a:e]
-        if re.fullmatch(r"\d{4}-\d{1,2}-\d{1,2}|\d{1,2}[./-]\d{1,2}[./-]\d{4}|\d{1,3}(?:\.\d{1,3}){3}|\d{4}/\d{2}", s) or re.search(r"[./]\d{1,2}$", s) and s.count(".") == 1:
+        if re.search(r"[./]\d{1,2}$", s) and s.count(".") == 1:
             return 0
         if kind == "id_number" and (ID_CUES.search(left) or form == "nino"):
             return 1
@@ -261,33 +279,59 @@ def _hash(f: str) -> int:
     return zlib.crc32(f.encode("utf-8", "surrogatepass")) & (1 << BITS) - 1
 
 
+def edges(t: str, nodes: list[tuple[int, int, str, str]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Neighbouring spans, and spans that share a text or, for names, a word; nodes in order."""
+    chain = [(i, i + 1) for i in range(len(nodes) - 1) if 0 <= nodes[i + 1][0] - nodes[i][1] < 40]
+    skip, same = {}, {}
+    for i, (a, e, kind, _) in enumerate(nodes):
+        # each node is joined to the last one that shares its text or a word: a chain, never all pairs
+        for w in {t[a:e].lower(), *(_word.findall(t[a:e].lower()) if kind == "name" else ())}:
+            j = same.get((kind, w))
+            if j is not None and j != i:
+                skip[j, i] = None
+            same[kind, w] = i
+    return chain, list(skip)
+
+
 class Field:
     """Lists, weights and inference."""
 
-    def __init__(self, texts: list[str]):
-        self.lex = Lexicon(texts)
+    def __init__(self, texts: list[str], lexicon: Lexicon | None = None):
+        self.lex = lexicon or Lexicon(Counter(s for t in texts for s in sightings(t)))
         rows = []
         for raw in texts:
             t = flat(raw)[0]
-            for n in spans(t, self.lex):
-                y = _reliable(t, n)
-                if y is not None:
-                    rows.append(([_hash(f) for f in _features(t, n, self.lex)], y))
+            nodes = sorted(spans(t, self.lex))
+            labels = [_reliable(t, n) for n in nodes]
+            beside = [[0.0, 0.0] for _ in nodes]
+            for k, pairs in enumerate(edges(t, nodes)):
+                for i, j in pairs:
+                    for a, b in ((i, j), (j, i)):
+                        if labels[b] is not None:
+                            beside[a][k] += 2 * labels[b] - 1
+            rows += [([_hash(f) for f in _features(t, n, self.lex)], y, c) for n, y, c in zip(nodes, labels, beside, strict=True) if y is not None]
         # so that a kind never seen rejected is not taken as always wrong, weights start from a slight yes
         self.weights = np.zeros(1 << BITS)
         for k in TYPES:
             self.weights[_hash(k)] = 1.0
+        #: What a neighbour with a label, and one that shares its text, add to the log-odds.
+        self.pull = np.full(2, 0.3)
         if rows:
             at = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
             ids = np.fromiter((i for r in rows for i in r[0]), np.int64)
-            y = np.array([r[1] for r in rows], float)
-            power = np.full(1 << BITS, 1e-6)
+            y, near = np.array([r[1] for r in rows], float), np.array([r[2] for r in rows])
+            power, power2 = np.full(1 << BITS, 1e-6), np.full(2, 1e-6)
             for _ in range(EPOCHS):
-                p = 1 / (1 + np.exp(-np.bincount(at, self.weights[ids], len(rows))))
+                p = 1 / (1 + np.exp(-np.bincount(at, self.weights[ids], len(rows)) - near @ self.pull))
                 g = np.bincount(ids, (p - y)[at], 1 << BITS) + 1e-3 * self.weights
+                h = (p - y) @ near + 1e-3 * self.pull
                 power += g * g
+                power2 += h * h
                 self.weights -= 0.3 * g / np.sqrt(power)
+                # labels that repeat never push each other apart
+                self.pull = np.clip(self.pull - 0.1 * h / np.sqrt(power2), 0.05, 4.0)
         self.weights = self.weights.astype(np.float32)
+        self._list: list[float] | None = None
 
     def items(self, raw: str | None) -> list[tuple[int, int, str]]:
         """(start, end, type) of the items of a text, in order and without overlaps; [] for null and empty texts."""
@@ -298,56 +342,64 @@ class Field:
         if not nodes:
             return []
         nodes.sort()
-        n = len(nodes)
-        unary = np.array([float(self.weights[[_hash(f) for f in _features(t, x, self.lex)]].sum()) for x in nodes])
-        for i, x in enumerate(nodes):
-            if x[2] in ("phone", "id_number") and _reliable(t, x) == 0:
-                unary[i] -= 6
-        edges: dict[tuple[int, int], float] = {}
-        for i in range(n - 1):
-            if nodes[i + 1][0] - nodes[i][1] < 40 and nodes[i + 1][0] >= nodes[i][1]:
-                edges[i, i + 1] = CHAIN
-        same: dict[tuple[str, str], int] = {}
-        for i, (a, e, kind, _) in enumerate(nodes):
-            # each node is joined to the last one that shares its text or, for names, a word: a chain, never all pairs
-            for w in {t[a:e].lower(), *(_word.findall(t[a:e].lower()) if kind == "name" else ())}:
-                j = same.get((kind, w))
-                if j is not None and j != i:
-                    edges[j, i] = max(SKIP, edges.get((j, i), 0))
-                same[kind, w] = i
-        belief = self._propagate(unary, edges)
+        if self._list is None:
+            self._list = self.weights.tolist()
+        w = self._list
+        unary = [sum([w[_hash(f)] for f in _features(t, x, self.lex)]) for x in nodes]
+        chain, skip = edges(t, nodes)
+        belief = self._propagate(unary, dict.fromkeys(chain, float(self.pull[0])) | dict.fromkeys(skip, float(self.pull[1])))
         chosen: list[tuple[int, int, str]] = []
         size = lambda x: x[1] - x[0]
-        for i in sorted(range(n), key=lambda i: (-(nodes[i][2] in ("address", "email")), -size(nodes[i]), -belief[i], nodes[i][0])):
+        for i in sorted(range(len(nodes)), key=lambda i: (-(nodes[i][2] in ("address", "email")), -size(nodes[i]), -belief[i], nodes[i][0])):
             if belief[i] > 0 and all(nodes[i][1] <= a or nodes[i][0] >= e for a, e, _ in chosen):
                 chosen.append(nodes[i][:3])
         chosen.sort()
         return [(at[a], at[e - 1] + 1, k) if at else (a, e, k) for a, e, k in chosen]
 
     @staticmethod
-    def _propagate(unary: np.ndarray, edges: dict[tuple[int, int], float]) -> np.ndarray:
+    def _propagate(unary: list[float], edges: dict[tuple[int, int], float]) -> list[float]:
         """Loopy belief propagation in log-odds for binary labels with attractive edges."""
         if not edges:
-            return unary
-        msg: dict[tuple[int, int], float] = {d: 0.0 for i, j in edges for d in ((i, j), (j, i))}
-        into: dict[int, list[int]] = defaultdict(list)
-        for i, j in edges:
-            into[i].append(j)
-            into[j].append(i)
+            return list(unary)
+        pull = {d: math.tanh(w / 2) for (i, j), w in edges.items() for d in ((i, j), (j, i))}
+        msg = dict.fromkeys(pull, 0.0)
         for _ in range(SWEEPS):
-            new = {}
-            for i, j in msg:
-                h = unary[i] + sum(msg[k, i] for k in into[i] if k != j)
-                w = edges.get((i, j)) or edges[j, i]
-                new[i, j] = float(2 * np.arctanh(np.tanh(w / 2) * np.tanh(np.clip(h, -30, 30) / 2) * 0.999999))
-            msg = new
-        return np.array([unary[i] + sum(msg[k, i] for k in into[i]) for i in range(len(unary))])
+            total = list(unary)
+            for (_, j), m in msg.items():
+                total[j] += m
+            msg = {(i, j): 2 * math.atanh(w * math.tanh(max(-30.0, min(30.0, total[i] - msg[j, i])) / 2) * 0.999999) for (i, j), w in pull.items()}
+        total = list(unary)
+        for (_, j), m in msg.items():
+            total[j] += m
+        return total
+
+
+#: What leads to a name somewhere in a text.
+CUES = r"attention|[Aa]pplicant|contact|checked by|moved to|signed|Antragsteller|wohnt|habite|écrire|solicitante|vive en|escriba|аявитель|получатель|живёт|申请人|收件人|联系|手机号码|申請者|宛て|(?m)^\S+ \S+, "
+
+
+def lexicon(df: DataFrame, text: str) -> Lexicon:
+    """Names counted over all rows; one row per distinct name that was seen more than once comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter = Counter()
+        for b in batches:
+            n.update(s for t in b.column(0).to_pylist() for s in sightings(t))
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in n], pa.string()), pa.array([w for _, w in n], pa.string()), pa.array(list(n.values()), pa.int64())], names=["list", "word", "n"])
+
+    seen = df.where(F.col(text).rlike(CUES)).select(text).mapInArrow(run, "list string, word string, n long").groupBy("list", "word").agg(F.sum("n").alias("n"))
+    return Lexicon({(r.list, r.word): r.n for r in seen.where(F.col("n") >= SEEN).collect()})
 
 
 def train(df: DataFrame, key: str, text: str = "text", size: int = SAMPLE) -> Field:
-    """Fitted on a bounded sample of the rows that hold a leading word."""
-    cue = r"attention|[Aa]pplicant|contact|checked by|moved to|signed|Antragsteller|wohnt|habite|écrire|solicitante|vive en|escriba|аявитель|получатель|живёт|申请人|收件人|联系|手机号码|申請者|宛て|(?m)^\S+ \S+, "
-    return Field(sample(df.where(F.col(text).rlike(cue)), key, text, size))
+    """Lists from all rows, weights from at most `size` rows that hold a leading word, those with the least hash among the
+    LOOKED rows that are looked through."""
+    n = df.count()
+    h = F.xxhash64(key)
+    rows = df if n <= LOOKED else df.where(F.pmod(h, F.lit(1 << 30)) < int(LOOKED / n * (1 << 30)))
+    # the least hashes in the same order at every number of rows
+    some = rows.where(F.col(text).rlike(CUES)).select(F.pmod(h, F.lit(1 << 30)).alias("h"), F.col(text).alias("t")).orderBy("h", "t").limit(size)
+    return Field([r.t for r in some.collect()], lexicon(df, text))
 
 
 def find(df: DataFrame, field: Field, keys: list[str], text: str = "text") -> DataFrame:

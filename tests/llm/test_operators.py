@@ -176,7 +176,7 @@ def test_places_in_odd_characters():
 
 
 def test_message_passing_agrees_with_enumeration():
-    u, edges = np.array([2.0, -0.5, 0.3]), {(0, 1): 1.5, (1, 2): 0.3}
+    u, edges = [2.0, -0.5, 0.3], {(0, 1): 1.5, (1, 2): 0.3}
     states = list(itertools.product((0, 1), repeat=3))
     w = [np.exp(sum(x * s for x, s in zip(u, st, strict=True)) + sum(c * (st[i] == st[j]) for (i, j), c in edges.items())) for st in states]
     exact = [np.log(sum(x for x, s in zip(w, states, strict=True) if s[i]) / sum(x for x, s in zip(w, states, strict=True) if not s[i])) for i in range(3)]
