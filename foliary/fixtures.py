@@ -97,24 +97,26 @@ def ofd(lines: Sequence[str], rules: Sequence[tuple[float, float, float, float]]
     )
 
 
-def pdf(lines: Sequence[str], table: Sequence[Sequence[str]] = (), packed: bool = True) -> bytes:
-    """ASCII lines, one below the other; a table is drawn with ruling lines under them."""
+def pdf(lines: Sequence[str], table: Sequence[Sequence[str]] = (), packed: bool = True, width: int = 120, pictures: Sequence[tuple[bytes, bytes]] = ()) -> bytes:
+    """ASCII lines, one below the other; a table is drawn with ruling lines under them. pictures: (dictionary entries,
+    stream) of image objects, numbered from 6; the last stands in a nested form."""
     esc = lambda t: t.replace("\\", "\\\\").replace("(", "\\(").replace(")", "\\)")
     y, ops = 800.0, []
     for x in lines:
         ops.append(f"BT /F1 10 Tf 1 0 0 1 50 {y:g} Tm ({esc(x)}) Tj ET")
         y -= 20
     if table:
-        width, height, top = 120, 24, y
+        height, top = 24, y
         n, m = max(map(len, table)), len(table)
         ops += [f"50 {top - i * height:g} m {50 + n * width} {top - i * height:g} l S" for i in range(m + 1)]
         ops += [f"{50 + j * width} {top:g} m {50 + j * width} {top - m * height:g} l S" for j in range(n + 1)]
         ops += [f"BT /F1 10 Tf 1 0 0 1 {54 + j * width} {top - i * height - 4:g} Tm ({esc(c)}) Tj ET" for i, r in enumerate(table) for j, c in enumerate(r)]
     stream = "\n".join(ops).encode("latin-1", "replace")
     body = zlib.compress(stream) if packed else stream
-    parts = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R] /Count 1 >>", b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 595 842] /Contents 4 0 R /Resources << /Font << /F1 5 0 R >> >> >>"]
+    parts = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R] /Count 1 >>", b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 595 842] /Contents 4 0 R /Resources << /Font << /F1 5 0 R >> %s >> >>" % (b"/XObject << " + b" ".join(b"/I%d %d 0 R" % (k, k) for k in range(6, 6 + len(pictures))) + b" >>" if pictures else b"")]
     parts.append(b"<< /Length %d%s >>\nstream\n" % (len(body), b" /Filter /FlateDecode" if packed else b"") + body + b"\nendstream")
     parts.append(b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>")
+    parts += [b"<< /Type /XObject %s /Length %d >>\nstream\n" % (head, len(raw)) + raw + b"\nendstream" for head, raw in pictures]
     return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (i, p) for i, p in enumerate(parts, 1)) + b"%%EOF\n"
 
 

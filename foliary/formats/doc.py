@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 import struct
 from bisect import bisect_right
+from collections.abc import Iterator
 
 from ..operators.paginate import Options, Paragraph, paginate
-from . import cfb
+from . import cfb, officeart
 from .common import FormatError, document, page, run
 from .html import text_of
 
@@ -67,10 +68,8 @@ def font_names(data: bytes) -> list[str]:
     return out
 
 
-def _properties(data: bytes, fonts: list[str]) -> tuple[str, float, str]:
-    """Font (the East Asian one first), size and colour of a list of properties."""
-    font, size, color = DEFAULT
-    chosen: dict[int, int] = {}
+def _operands(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """(operation, operand) of a list of properties; what is cut off ends it."""
     at = 0
     while at + 2 <= len(data):
         op = struct.unpack_from("<H", data, at)[0]
@@ -84,6 +83,15 @@ def _properties(data: bytes, fonts: list[str]) -> tuple[str, float, str]:
         arg = data[at : at + n]
         if len(arg) < n:
             break
+        yield op, arg
+        at += n
+
+
+def _properties(data: bytes, fonts: list[str]) -> tuple[str, float, str]:
+    """Font (the East Asian one first), size and colour of a list of properties."""
+    font, size, color = DEFAULT
+    chosen: dict[int, int] = {}
+    for op, arg in _operands(data):
         if op == 0x4A43:
             size = struct.unpack("<H", arg)[0] / 2
         elif op in (0x4A4F, 0x4A50):
@@ -92,14 +100,19 @@ def _properties(data: bytes, fonts: list[str]) -> tuple[str, float, str]:
             color = COLORS[arg[0] - 1] if 1 <= arg[0] <= 16 else "#000000"
         elif op == 0x6870 and arg != b"\xff" * 4:
             color = f"#{arg[0]:02X}{arg[1]:02X}{arg[2]:02X}"
-        at += n
     k = chosen.get(0x4A50, chosen.get(0x4A4F, -1))
     return (fonts[k] if 0 <= k < len(fonts) else font), size, color
 
 
 def style_runs(word: bytes, table: bytes) -> list[tuple[int, int, tuple]]:
-    """(from, to, style) over places in the document stream, from the pages of character properties."""
-    plc, fonts, out = part(word, table, 12), font_names(part(word, table, 15)), []
+    """(from, to, style) over places in the document stream."""
+    fonts = font_names(part(word, table, 15))
+    return [(a, b, _properties(data, fonts) if data is not None else DEFAULT) for a, b, data in property_runs(word, table)]
+
+
+def property_runs(word: bytes, table: bytes) -> list[tuple[int, int, bytes | None]]:
+    """(from, to, properties) over places in the document stream, from the pages of character properties."""
+    plc, out = part(word, table, 12), []
     if len(plc) < 12 or (len(plc) - 4) % 8:
         return []
     n = (len(plc) - 4) // 8
@@ -112,8 +125,8 @@ def style_runs(word: bytes, table: bytes) -> list[tuple[int, int, tuple]]:
         ends = struct.unpack_from(f"<{runs + 1}I", page_)
         for j in range(runs):
             at = page_[base + j] * 2
-            style = _properties(page_[at + 1 : at + 1 + page_[at]], fonts) if 0 < at < 511 and at + 1 + page_[at] <= 511 else DEFAULT
-            out.append((ends[j], ends[j + 1], style))
+            data = page_[at + 1 : at + 1 + page_[at]] if 0 < at < 511 and at + 1 + page_[at] <= 511 else None
+            out.append((ends[j], ends[j + 1], data))
     return sorted(out, key=lambda r: r[0])
 
 
@@ -133,6 +146,34 @@ def styled(word: bytes, table: bytes) -> tuple[str, list[tuple]]:
     return "".join(text), styles
 
 
+def pictures(word: bytes, table: bytes, data: bytes) -> dict[int, dict]:
+    """Inline pictures by the number of the character that stands for them: a mark whose properties point into the data
+    stream, where the first picture record of the block counts."""
+    spots = [(a, b, struct.unpack("<I", arg)[0]) for a, b, p in property_runs(word, table) for op, arg in _operands(p or b"") if op == 0x6A03]
+    out, cp = {}, 0
+    starts = [s[0] for s in spots]
+    for at, n, narrow in pieces(word, table) if spots and data else ():
+        step = 1 if narrow else 2
+        for k in range(n):
+            place = at + k * step
+            if word[place : place + step] == b"\x01\0"[:step]:
+                i = bisect_right(starts, place) - 1
+                if i >= 0 and place < spots[i][1] and (found := _block_picture(data, spots[i][2])):
+                    out[cp + k] = found
+        cp += n
+    return out
+
+
+def _block_picture(data: bytes, at: int) -> dict | None:
+    """The first picture of the block that begins at a place of the data stream with its own length."""
+    if at + 4 > len(data):
+        return None
+    size = struct.unpack_from("<I", data, at)[0]
+    block = data[at : at + size] if 0 < size <= len(data) - at else data[at:]
+    found = officeart.images(block)[:1]
+    return found[0] | {"name": f"doc-image-{at}"} if found else None
+
+
 def raw_text(word: bytes) -> str:
     """Without a piece table: stretches of at least four plausible UTF-16 units, else printable ASCII."""
     units = struct.unpack(f"<{len(word) // 2}H", word[: len(word) // 2 * 2])
@@ -142,7 +183,7 @@ def raw_text(word: bytes) -> str:
     return (text or "".join("\n" if b in (10, 13) else chr(b) if 0x20 <= b < 0x7F else "" for b in word)).strip()
 
 
-def paragraphs_of(text: str, styles: list[tuple] | None = None) -> list[Paragraph]:
+def paragraphs_of(text: str, styles: list[tuple] | None = None, images: dict[int, dict] | None = None) -> list[Paragraph]:
     """Paragraph ends, page breaks and cell marks; a second cell mark in a row ends the row, two plain paragraph ends
     part one table from the next."""
     out: list[Paragraph] = []
@@ -150,9 +191,12 @@ def paragraphs_of(text: str, styles: list[tuple] | None = None) -> list[Paragrap
     table = serial = row = column = first = breaks = 0
     apart = False
 
+    shown: list[dict] = []
+
     def close() -> None:
-        out.append(Paragraph(runs=list(here)))
+        out.append(Paragraph(runs=list(here), images=list(shown)))
         here.clear()
+        shown.clear()
 
     for i, c in enumerate(text):
         if c == "\f":
@@ -177,6 +221,8 @@ def paragraphs_of(text: str, styles: list[tuple] | None = None) -> list[Paragrap
             out[-1].separator = "\n" if last else "\t"
             row, column = (row + 1, 0) if last else (row, column + 1)
             first = len(out)
+        elif images and i in images:
+            shown.append(images[i])
         elif c == "\t" or c >= " ":
             font, size, color = styles[i] if styles else DEFAULT
             if here and (here[-1]["font"], here[-1]["size"], here[-1]["color"]) == (font, size, color):
@@ -184,7 +230,7 @@ def paragraphs_of(text: str, styles: list[tuple] | None = None) -> list[Paragrap
             else:
                 here.append(run(c, None, font, size, color))
             breaks = 0
-    if here:
+    if here or shown:
         close()
     return out
 
@@ -230,7 +276,7 @@ def parse(data: bytes) -> dict:
     if text:
         story = lambda at: struct.unpack_from("<I", word, at)[0] if len(word) >= at + 4 else 0
         main = story(76) if 0 < story(76) <= len(text) else len(text)
-        pages = paginate(paragraphs_of(text[:main], styles[:main]), Options(target_pages=max(0, page_count(streams.get("\x05SummaryInformation", b"")))))
+        pages = paginate(paragraphs_of(text[:main], styles[:main], pictures(word, table, streams.get("Data", b""))), Options(target_pages=max(0, page_count(streams.get("\x05SummaryInformation", b"")))))
         # text boxes follow the notes, headers and comments; they stand before the text of the page of the first anchor
         box = main + sum(story(at) for at in range(80, 97, 4))
         inside = text[box : box + story(100)] if main < len(text) else ""

@@ -11,7 +11,7 @@ from .common import FormatError, archive, attr, children, document, find, image,
 
 MM = 72 / 25.4
 XML_LIMIT, RESOURCE_LIMIT, MOST_ENTRIES = 20 << 20, 256 << 20, 20_000
-STYLE = Style(tolerance=1.5, averaging=False, least_height=0.0, least_width=0.0, infer_borders=False, ascending=True, text_of=lines_by_anchor)
+STYLE = Style(tolerance=1.5, averaging=False, least_height=0.0, least_width=0.0, infer_borders=False, ascending=True, first_cell=True, text_of=lines_by_anchor)
 
 
 def _numbers(text: str) -> list[float]:

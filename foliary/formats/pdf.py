@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 import zlib
 from dataclasses import dataclass, field
 
+import numpy as np
+
 from ..operators.grid import MOST_CELLS, Style, build, classify, connected, detect, lines_by_gap, merge_rules, page_text
 from .common import FormatError, document, image, page, rect, run
 
-STREAM_LIMIT, MOST_INNER, DEEPEST = 256 << 20, 100_000, 1000
+STREAM_LIMIT, MOST_INNER, DEEPEST, MOST_PIXELS = 256 << 20, 100_000, 1000, 32768
 STYLE = Style(text_of=lines_by_gap)
 _object = re.compile(rb"(?s)(\d+)\s+(\d+)\s+obj\b(.*?)\bendobj")
 _token = re.compile(r"\[|\]|<<|>>|<[^>]*>|/[^\s\[\]<>(){}/%]*|[^\s\[\]<>(){}/%]+|[(){}>]|%[^\r\n]*")
+_string = re.compile(rb"\((?:\\.|[^\\()])*\)|(?<!<)<[0-9A-Fa-f\s]+>(?!>)", re.DOTALL)
 _escapes = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f"}
 
 
@@ -84,10 +88,14 @@ def _int(head: bytes, key: str, default: int = 0) -> int:
 def inflate(o: Obj) -> bytes:
     if b"FlateDecode" not in o.head and not re.search(rb"/Filter\s*\[?\s*/Fl\b", o.head):
         return o.data
+    stream = zlib.decompressobj()
     try:
-        return zlib.decompressobj().decompress(o.data, STREAM_LIMIT)
+        out = stream.decompress(o.data, STREAM_LIMIT)
     except zlib.error:
         return b""
+    if stream.unconsumed_tail:
+        raise FormatError("stream of more than 256 MiB")
+    return out
 
 
 def literal(token: str) -> bytes:
@@ -214,6 +222,8 @@ class Reader:
             if num != int(m[1]):
                 own = hashlib.md5(key[:n] + num.to_bytes(3, "little") + o.gen.to_bytes(2, "little")).digest()[: min(16, n + 5)]
                 o.data = _rc4(own, o.data) if o.data else b""
+                # strings of dictionaries are encrypted one by one
+                o.head = _string.sub(lambda m, own=own: b"<" + _rc4(own, literal(m[0].decode("latin-1"))).hex().encode() + b">", o.head)
 
     def _inner(self) -> None:
         for o in [o for _, o in sorted(self.objects.items()) if re.search(rb"/Type\s*/ObjStm\b", o.head)]:
@@ -273,8 +283,9 @@ class Reader:
             f = Font(_name(o.head, "BaseFont"), _name(o.head, "Encoding"))
             m = re.search(rb"/DescendantFonts\s*\[?\s*(\d+)\s+\d+\s+R", o.head)
             inner = self.objects.get(int(m[1])) if m else None
-            order = re.search(rb"/Registry\s*\((\w+)\).*?/Ordering\s*\((\w+)\)", o.head + (inner.head if inner else b""), re.DOTALL)
-            f.collection = b"-".join(order.groups()).decode() if order else ""
+            both = o.head + (inner.head if inner else b"")
+            names = [literal(m[1].decode("latin-1")).decode("latin-1") for k in (b"Registry", b"Ordering") if (m := re.search(rb"/" + k + rb"\s*(\([^)]*\)|<[0-9A-Fa-f\s]*>)", both))]
+            f.collection = "-".join(names) if len(names) == 2 else ""
             u = self.objects.get(_ref(o.head, "ToUnicode") or -1)
             if u:
                 f.chars = cmap(inflate(u).decode("latin-1"))
@@ -287,18 +298,83 @@ class Reader:
         return "".join(inflate(self.objects[r]).decode("latin-1") + "\n" for r in refs if r in self.objects)
 
     def images(self, res: bytes) -> list[dict]:
-        out = []
-        for name, num in self._entries(res, "XObject"):
-            o = self.objects.get(num)
-            if o is None or _name(o.head, "Subtype") != "Image":
-                continue
-            jpeg = b"DCTDecode" in o.head
-            im = image(name, o.data if jpeg else inflate(o), fmt="jpg" if jpeg else "raw")
-            w, h = _int(o.head, "Width"), _int(o.head, "Height")
-            im["width"], im["height"] = (w, h) if 0 < w <= 32768 and 0 < h <= 32768 else (0, 0)
-            out.append(im)
+        """Pictures that a page's resources name, also those inside nested forms, each object once."""
+        out, seen, queue = [], set(), [(res, 0)]
+        while queue:
+            own, depth = queue.pop(0)
+            inner = []
+            for name, num in self._entries(own, "XObject"):
+                o = self.objects.get(num)
+                if o is None or num in seen:
+                    continue
+                seen.add(num)
+                kind = _name(o.head, "Subtype")
+                if kind == "Image":
+                    out.append(self.picture(name, o))
+                elif kind == "Form" and depth < DEEPEST:
+                    r = self.objects.get(_ref(o.head, "Resources") or -1)
+                    inner.append((o.head + b"\n" + (r.head if r else b""), depth + 1))
+            queue = inner + queue
         return out
 
+    def picture(self, name: str, o: Obj) -> dict:
+        """JPEG data as it stands, 8-bit samples as a PNG with the soft mask for transparency, other data unpacked."""
+        w, h = _int(o.head, "Width"), _int(o.head, "Height")
+        w, h = (w, h) if 0 < w <= MOST_PIXELS and 0 < h <= MOST_PIXELS else (0, 0)
+        jpeg = b"DCTDecode" in o.head
+        raw = o.data if jpeg else inflate(o)
+        n = 0 if jpeg or not w or _int(o.head, "BitsPerComponent") != 8 else self._channels(o.head)
+        fmt = "jpg" if jpeg else "raw"
+        samples = unfiltered(raw, o.head, w * n, n) if n else b""
+        if n and len(samples) >= w * h * n:
+            mask = self.objects.get(_ref(o.head, "SMask") or -1)
+            raw, fmt = png(samples, w, h, n, inflate(mask) if mask else b""), "png"
+        im = image(name, raw, fmt=fmt)
+        im["width"], im["height"] = w, h
+        return im
+
+    def _channels(self, head: bytes) -> int:
+        """Colour channels of a picture, 0 where its colours are not plain."""
+        m = re.search(rb"/ColorSpace\s*(?:/Device(Gray|RGB|CMYK)\b|\[\s*/ICCBased\s+(\d+)\s+\d+\s+R)", head)
+        if not m:
+            return 0
+        profile = self.objects.get(int(m[2])) if m[2] else None
+        n = {b"Gray": 1, b"RGB": 3, b"CMYK": 4}[m[1]] if m[1] else _int(profile.head, "N") if profile else 0
+        return n if n in (1, 3, 4) else 0
+
+
+def unfiltered(raw: bytes, head: bytes, row: int, step: int) -> bytes:
+    """Rows of samples without the predictor that the picture declares."""
+    if _int(head, "Predictor", 1) < 10:
+        return raw
+    out, before = bytearray(), bytes(row)
+    for at in range(0, len(raw) - row, row + 1):
+        kind, line = raw[at], bytearray(raw[at + 1 : at + 1 + row])
+        for i in range(row):
+            a, b, c = line[i - step] if i >= step else 0, before[i], before[i - step] if i >= step else 0
+            if kind == 4:
+                pa_, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
+                add = a if pa_ <= pb and pa_ <= pc else b if pb <= pc else c
+            else:
+                add = (0, a, b, (a + b) // 2)[kind] if kind < 4 else 0
+            line[i] = (line[i] + add) & 255
+        out += line
+        before = bytes(line)
+    return bytes(out)
+
+
+def png(samples: bytes, w: int, h: int, channels: int, alpha: bytes) -> bytes:
+    """A PNG of 8-bit grey, RGB or CMYK samples; alpha counts where it has a value for every pixel."""
+    px = np.frombuffer(samples, np.uint8)[: w * h * channels].reshape(h, w, channels)
+    if channels == 4:
+        white = 255 - px.astype(np.uint32)
+        px = (white[..., :3] * white[..., 3:] // 255).astype(np.uint8)
+    px = np.repeat(px, 3, 2) if channels == 1 else px
+    over = np.frombuffer(alpha, np.uint8)[: w * h].reshape(h, w, 1) if len(alpha) >= w * h else np.full((h, w, 1), 255, np.uint8)
+    rows = np.concatenate([np.zeros((h, 1), np.uint8), np.concatenate([px, over], 2).reshape(h, w * 4)], 1).tobytes()
+    part = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 6, 0, 0, 0)) + part(b"IDAT", zlib.compress(rows)) + part(b"IEND", b"")
+
 
 def clip_tables(runs: list[dict], clips: list[tuple | None], segments: list[tuple]) -> tuple[list[dict], list[set[int]]]:
     """Tables without ruled cells, from the clip rectangles around their texts: those that hold their run's centre and

@@ -1,11 +1,12 @@
-"""Scalar operators as Catalyst expressions: no Python in the path, all inside whole-stage code generation."""
+"""Scalar operators as Catalyst expressions, inside whole-stage code generation; only html_text walks in Python."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..formats.html import STEPS
+from ..formats.html import text_of
 
 #: Extension to format.
 FORMATS = {".doc": "doc", ".docx": "docx", ".xls": "xls", ".xlsx": "xlsx", ".ppt": "ppt", ".pptx": "pptx", ".pdf": "pdf", ".rtf": "rtf", ".ofd": "ofd"}
@@ -51,18 +52,13 @@ def flatten_cell(text: Column) -> Column:
     return F.aggregate(parts, F.lit(""), glue)
 
 
-#: Named references that the Catalyst form resolves, the ampersand last.
-ENTITIES = (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&euro;", "€"), ("&amp;", "&"))
+def _html_texts(sources: pd.Series) -> pd.Series:
+    return sources.map(lambda t: None if t is None else text_of(t))
 
 
 def html_text(source: Column) -> Column:
-    """Text of an HTML page; character references beyond ENTITIES stay as they are."""
-    for pattern, new in STEPS:
-        source = F.regexp_replace(source, pattern, new)
-    for name, char in ENTITIES:
-        source = F.replace(source, F.lit(name), F.lit(char))
-    lines = F.transform(F.split(F.regexp_replace(source, r"\r\n?", "\n"), "\n"), lambda x: F.regexp_replace(x, _trim, ""))
-    return trimmed(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))
+    """Text of an HTML page, in Arrow batches: tags are walked one by one, which no expression does in linear time."""
+    return F.pandas_udf(_html_texts, "string")(source)
 
 
 def cell_column(ref: Column) -> Column:
@@ -106,3 +102,8 @@ def points(value: Column, unit: str) -> Column:
     """Lengths in points from the units of the formats."""
     scale = {"twip": 1 / 20, "emu": 1 / 12700, "mm": 72 / 25.4, "master": 1 / 8, "half": 1 / 2, "hundredth": 1 / 100}[unit]
     return value.cast("double") * scale
+
+
+def kept_line(text: Column, confidence: Column, least: float = 0.5) -> Column:
+    """Whether a recognised line stays: not blank and confident enough."""
+    return (trimmed(text) != "") & (confidence >= least)

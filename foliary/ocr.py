@@ -1,17 +1,23 @@
 """Character recognition of images: the steps around two models, which come from outside through a session.
 
-A session has run(array) -> array. Without models the document path works as before and pages keep their text.
+A session has run(array) -> array; model files are run by onnxruntime where it is installed, pictures are decoded by
+Pillow where it is. Without models the document path works as before and pages keep their text.
 """
 
 from __future__ import annotations
 
+import io
+import os
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field, fields, replace
+from threading import Lock
 from typing import Protocol
 
 import numpy as np
 
-from .formats.common import rect, run
+from .formats.common import FormatError, rect, run
+from .operators.normalize import page_text
 
 
 class Session(Protocol):
@@ -28,6 +34,90 @@ class Config:
     batch: int = 1
     dilate: bool = False
     native_characters: int = 16
+    workers: int = 1
+    detector: str = ""
+    recognizer: str = ""
+    characters: str = ""
+    classifier: str = ""  # without one no crop is turned
+
+    def filled(self) -> Config:
+        """Numbers that are not above 0 take their default."""
+        plain = {f.name: f.default for f in fields(self) if not isinstance(f.default, (str, bool))}
+        return replace(self, **{k: v for k, v in plain.items() if getattr(self, k) <= 0})
+
+    def check(self) -> None:
+        """Every model that is needed must be a file; anything else is an error that names it."""
+        for name in ("detector", "recognizer", "characters", *(("classifier",) if self.classifier else ())):
+            path = getattr(self, name)
+            if not os.path.isfile(path):
+                raise FileNotFoundError(f"recognition needs a {name} file: {path or 'none given'}")
+
+
+class ModelFile:
+    """A session of onnxruntime."""
+
+    def __init__(self, path: str):
+        import onnxruntime
+
+        self.session = onnxruntime.InferenceSession(path, providers=["CPUExecutionProvider"])
+        self.input = self.session.get_inputs()[0].name
+
+    def run(self, tensor: np.ndarray) -> np.ndarray:
+        return self.session.run(None, {self.input: tensor})[0]
+
+
+_engines: dict[Config, Engine] = {}
+_lock = Lock()
+
+
+def engine(config: Config) -> Engine:
+    """The engine of a configuration, loaded once per process."""
+    config = config.filled()
+    config.check()
+    with _lock:
+        if config not in _engines:
+            with open(config.characters, encoding="utf-8") as f:
+                characters = f.read().splitlines()
+            classifier = ModelFile(config.classifier) if config.classifier else None
+            _engines[config] = Engine(ModelFile(config.detector), ModelFile(config.recognizer), characters, classifier, config)
+        return _engines[config]
+
+
+#: Pixels of the largest picture that is decoded.
+MOST_PIXELS = 200_000_000
+
+
+def decode_image(data: bytes) -> np.ndarray:
+    """RGB pixels of an encoded picture; transparent parts are white."""
+    from PIL import Image
+
+    im = Image.open(io.BytesIO(data))
+    if im.width * im.height > MOST_PIXELS or not im.width * im.height:
+        raise FormatError(f"picture of {im.width} x {im.height} pixels")
+    im = im.convert("RGBA")
+    return np.asarray(Image.alpha_composite(Image.new("RGBA", im.size, "white"), im).convert("RGB"))
+
+
+@dataclass
+class Result:
+    text: str
+    lines: list[Line]
+
+
+def recognize_image(data: bytes, engine: Engine, decode: Callable[[bytes], np.ndarray] = decode_image) -> Result:
+    """Lines of an encoded picture in reading order, and their text."""
+    lines = engine.lines(decode(data))
+    return Result("\n".join(x.text for x in lines), lines)
+
+
+def image_bytes_to_text(data: bytes, engine: Engine, decode: Callable[[bytes], np.ndarray] = decode_image) -> str:
+    """Text of an encoded picture, normalized as page text is."""
+    return page_text(recognize_image(data, engine, decode).text)
+
+
+def image_to_text(path: str, engine: Engine, decode: Callable[[bytes], np.ndarray] = decode_image) -> str:
+    with open(path, "rb") as f:
+        return image_bytes_to_text(f.read(), engine, decode)
 
 
 @dataclass
@@ -201,19 +291,27 @@ def candidates(images: Sequence[dict]) -> list[dict]:
     return [top] if top and top["width"] >= 512 and top["height"] >= 512 else ok
 
 
-def recognizer(engine: Engine, decode_image: Callable[[bytes], np.ndarray]) -> Callable[[dict], None]:
-    """For extract(recognize=...): adds lines to pages with too little native text, placed on the page by its size."""
+def recognizer(engine: Engine, decode_image: Callable[[bytes], np.ndarray] = decode_image) -> Callable[[dict], None]:
+    """For extract(recognize=...): adds lines to pages with too little native text, placed on the page by its size; as
+    many pages at once as the configuration has workers."""
 
     def apply(doc: dict) -> None:
-        for p in doc["pages"]:
-            if sum(c.isalpha() or c.isnumeric() for c in p["text"]) >= engine.config.native_characters:
-                continue
-            for im in candidates(p["images"]):
-                pixels = decode_image(im["data"])
-                sx, sy = (p["width"] / pixels.shape[1] if p["width"] else 1.0), (p["height"] / pixels.shape[0] if p["height"] else 1.0)
-                for x in engine.lines(pixels):
-                    b = x.bounds
-                    p["text"] += ("\n" if p["text"] else "") + x.text
-                    p["runs"].append(run(x.text, rect(b["x"] * sx, b["y"] * sy, b["width"] * sx, b["height"] * sy), "OCR", b["height"] * sy * 0.75, x.color))
+        if engine.config.workers > 1:
+            with ThreadPoolExecutor(engine.config.workers) as pool:
+                list(pool.map(one, doc["pages"]))
+        else:
+            for p in doc["pages"]:
+                one(p)
+
+    def one(p: dict) -> None:
+        if sum(c.isalpha() or c.isnumeric() for c in p["text"]) >= engine.config.native_characters:
+            return
+        for im in candidates(p["images"]):
+            pixels = decode_image(im["data"])
+            sx, sy = (p["width"] / pixels.shape[1] if p["width"] else 1.0), (p["height"] / pixels.shape[0] if p["height"] else 1.0)
+            for x in engine.lines(pixels):
+                b = x.bounds
+                p["text"] += ("\n" if p["text"] else "") + x.text
+                p["runs"].append(run(x.text, rect(b["x"] * sx, b["y"] * sy, b["width"] * sx, b["height"] * sy), "OCR", b["height"] * sy * 0.75, x.color))
 
     return apply

@@ -21,6 +21,7 @@ class Style:
     least_width: float = 5.0
     infer_borders: bool = True
     ascending: bool = False  # y grows downwards
+    first_cell: bool = False  # a run goes to the first cell that holds the place near its left end
     text_of: Callable[[list[dict]], str] = field(default=lambda runs: "".join(r["text"] for r in runs))
 
 
@@ -130,9 +131,17 @@ def build(cells: list[tuple], runs: list[dict], style: Style) -> tuple[dict, set
     t = style.tolerance
     xs = levels([x for c in cells for x in (c[0], c[2])], style)
     place: dict[int, int] = {}
+    by_row = sorted(range(len(cells)), key=lambda k: (cells[k][1], cells[k][0]))
     for i, r in enumerate(runs):
         if not r["text"]:
             continue
+        if style.first_cell:
+            b = r["bounds"]
+            x, y = b["x"] + min(b["width"] / 2, max(r["size"] * 0.2, 1)), b["y"] + b["height"] / 2
+            holds = (k for k in by_row if cells[k][0] - t <= x <= cells[k][2] + t and cells[k][1] - t <= y <= cells[k][3] + t)
+            if (k := next(holds, None)) is not None:
+                place[i] = k
+            continue
         scores = [_score(r["bounds"], c) for c in cells]
         k = max(range(len(cells)), key=lambda k: (scores[k], -k))
         if scores[k] > 0.25:

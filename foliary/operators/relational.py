@@ -165,14 +165,27 @@ def collapsed(steps: DataFrame, keys: list[str], order: str, index: str, blank:
     return steps.withColumn("_p", F.lag(index).over(w)).where((F.col(index) != blank) & (F.col("_p").isNull() | (F.col("_p") != F.col(index)))).drop("_p")
 
 
-def style_at(chars: DataFrame, styles: DataFrame) -> DataFrame:
+def with_declared_fonts(runs: DataFrame, fonts: DataFrame) -> DataFrame:
+    """Adds what the file declares for the font of each run; null where it declares nothing."""
+    return runs.join(fonts, ["path", "font"], "left")
+
+
+def style_at(chars: DataFrame, styles: DataFrame, block: int = 1 << 14) -> DataFrame:
     """Interval join as an as-of lookup: the style whose [start, stop) holds each position, null where none does.
-    Sorted union and the last seen start, so that no pair is formed."""
+    Sorted union and the last seen start, so that no pair is formed. Places are dealt into blocks, so that one large
+    file fills many windows; a block begins with the last start of the blocks before it."""
     a = chars.select("path", F.col("fc").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("stop"), F.lit(None).cast("string").alias("style"))
     b = styles.select("path", F.col("start").alias("at"), F.lit(0).alias("kind"), F.col("stop").cast("bigint"), F.col("style").cast("string"))
-    w = Window.partitionBy("path").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    cut = F.floor(F.col("at") / block).alias("_b")
+    # one row per block that holds anything; what each block hands on is found over blocks, not places
+    blocks = a.unionByName(b).groupBy("path", cut).agg(F.max(F.when(F.col("kind") == 0, F.struct("at", "stop", "style"))).alias("_end"))
+    handed = F.last("_end", ignorenulls=True).over(Window.partitionBy("path").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select("path", "_b", handed.alias("_in"))
+    w = Window.partitionBy("path", "_b").orderBy("at", "kind", "stop", "style").rowsBetween(Window.unboundedPreceding, 0)
     last = F.last(F.when(F.col("kind") == 0, F.struct("stop", "style")), ignorenulls=True).over(w)
-    return a.unionByName(b).withColumn("_s", last).where("kind = 1").select("path", F.col("at").alias("fc"), F.when(F.col("at") < F.col("_s.stop"), F.col("_s.style")).alias("style"))
+    found = a.unionByName(b).withColumn("_b", F.floor(F.col("at") / block)).withColumn("_s", last).where("kind = 1").join(blocks, ["path", "_b"], "left")
+    s = F.coalesce("_s", F.when(F.col("_in").isNotNull(), F.struct("_in.stop", "_in.style")))
+    return found.select("path", F.col("at").alias("fc"), F.when(F.col("at") < s["stop"], s["style"]).alias("style"))
 
 
 def equal_pages(lines: DataFrame, per_page: int) -> DataFrame:

@@ -9,9 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import kept_line
+from ..ocr import decode, turned
 from ..operators import grid
 from ..operators import relational as R
 from ..operators.paginate import Options, Paragraph, lines_of, paginate
+from ..sources.documents import page_totals, summary
 from .text import table
 
 QUERIES: dict = {}
@@ -187,39 +190,33 @@ def ctc_collapse(spark, sf_dir):
     return R.collapsed(e, ["user_id"], "event_id", "symbol").select("user_id", "event_id", "symbol")
 
 
-@query("SELECT vec_id, round(1 / (1 + exp(a - b)), 6) AS turned, 1 / (1 + exp(a - b)) >= 0.9 AS rotate FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM embeddings)")
+@query("SELECT vec_id, 1 / (1 + exp(a - b)) >= 0.55 AND b > a AS rotate FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM embeddings)")
 def orientation_softmax(spark, sf_dir):
-    """Probability of the second of two classes from raw outputs."""
-    a, b = (F.element_at("embedding", i).cast("double") for i in (1, 2))
-    p = 1 / (1 + F.exp(a - b))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(p, 6).alias("turned"), (p >= 0.9).alias("rotate"))
+    """Whether the classifier step turns a crop, from two raw outputs."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            raw = np.array([e[:2] for e in f.embedding], float).reshape(-1, 2)
+            yield pd.DataFrame({"vec_id": f.vec_id, "rotate": [bool(turned(x[None], 0.55)[0]) for x in raw]})
+
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, rotate boolean")
 
 
 @query(
     """SELECT l_orderkey, l_linenumber, CASE WHEN s IS NULL OR CAST(l_extendedprice AS BIGINT) >= s + 500 THEN NULL ELSE CAST(s AS VARCHAR) END AS style FROM (SELECT l_orderkey, l_linenumber, l_extendedprice, CAST(floor(CAST(l_extendedprice AS BIGINT) / 1000.0) * 1000 AS BIGINT) AS s FROM lineitem)"""
 )
 def style_as_of(spark, sf_dir):
-    """Intervals of 500 from every thousand on; positions are prices."""
+    """Intervals of 500 from every thousand on; positions are prices, all of one file."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.lit("f").alias("path"), F.round("l_extendedprice").cast("bigint").alias("fc"))
     top = li.select((F.floor(F.max("fc") / 1000) + 1).alias("n"))
     styles = top.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n"))).alias("k")).select(F.lit("f").alias("path"), (F.col("k") * 1000).alias("start"), (F.col("k") * 1000 + 500).alias("stop"), (F.col("k") * 1000).cast("string").alias("style"))
     spots = li.select("path", "fc").distinct()
-    # one file per thousand keeps the windows small: the lookup is by (path, position)
-    by = lambda df, c: df.withColumn("path", F.concat("path", F.floor(F.col(c) / 1000).cast("string")))
-    found = R.style_at(by(spots, "fc"), by(styles, "start"))
+    found = R.style_at(spots, styles)
     return li.join(found.select("fc", "style"), "fc", "left").select("l_orderkey", "l_linenumber", "style")
 
 
-@query("SELECT doc_id, CAST(floor((n - 1) / 50) + 1 AS INTEGER) AS pages FROM (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents WHERE text <> '' AND NOT regexp_matches(text, '[^\\n]{79}') AND NOT regexp_matches(text, '[^\\x00-\\x7f]') AND NOT contains(text, chr(13)) AND NOT contains(text, chr(9)))")
-def paginate_auto(spark, sf_dir):
-    """Pages of documents whose lines don't wrap, by the layout operator: 50 lines of 13.75 points on A4."""
-    d = table(spark, sf_dir, "documents").where((F.col("text") != "") & ~F.col("text").rlike(r"[^\n]{79}") & ~F.col("text").rlike(r"[^\x00-\x7f]") & ~F.col("text").contains("\r") & ~F.col("text").contains("\t"))
-
-    return _pages_of(d)
-
-
 @query()
-def paginate_auto_all(spark, sf_dir):
+def paginate_auto(spark, sf_dir):
     """Pages of all documents with text, whose lines may wrap and be of any script; SQL can't wrap lines."""
     return _pages_of(table(spark, sf_dir, "documents").where("text <> ''"))
 
@@ -296,34 +293,38 @@ def ofd_line_text(spark, sf_dir):
     return r.groupBy("path", "page_no").applyInPandas(run, "path string, page_no int, text string")
 
 
-@query("SELECT DISTINCT line_id, trim(text) <> '' AND confidence >= 0.5 AS kept FROM ocr_lines WHERE text IS NOT NULL AND confidence IS NOT NULL")
+@query("SELECT DISTINCT line_id, regexp_matches(text, '[^\\s\\x0b\\x{85}\\p{Z}]') AND confidence >= 0.5 AS kept FROM ocr_lines")
 def confidence_filter(spark, sf_dir):
-    o = table(spark, sf_dir, "ocr_lines").where("text IS NOT NULL AND confidence IS NOT NULL")
-    return o.select("line_id", ((F.trim("text") != "") & (F.col("confidence") >= 0.5)).alias("kept")).distinct()
+    return table(spark, sf_dir, "ocr_lines").select("line_id", kept_line(F.col("text"), F.col("confidence")).alias("kept")).distinct()
 
 
 @query("SELECT path, count(*) AS pages, CAST(sum(CASE WHEN text IS NULL THEN 0 ELSE length(text) END) AS BIGINT) AS characters FROM (SELECT DISTINCT page_id, path, text FROM doc_pages) GROUP BY path")
 def document_stats(spark, sf_dir):
     p = table(spark, sf_dir, "doc_pages").select("page_id", "path", "text").distinct()
-    return p.groupBy("path").agg(F.count("*").alias("pages"), F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("characters"))
+    return page_totals(p)
 
 
 @query("SELECT status, count(*) AS files FROM (SELECT DISTINCT path, status FROM source_files) GROUP BY status")
 def status_counts(spark, sf_dir):
-    return table(spark, sf_dir, "source_files").select("path", "status").distinct().groupBy("status").agg(F.count("*").alias("files"))
+    return summary(table(spark, sf_dir, "source_files").select("path", "status").distinct()).withColumnRenamed("documents", "files")
 
 
-@query("SELECT DISTINCT r.path, r.font, f.font_alias, f.encoding FROM (SELECT DISTINCT path, font FROM text_runs) r JOIN fonts f ON r.path = f.path AND r.font = f.font")
+@query("SELECT DISTINCT r.path, r.font, f.font_alias, f.encoding FROM (SELECT DISTINCT path, font FROM text_runs) r LEFT JOIN fonts f ON r.path = f.path AND r.font = f.font")
 def font_lookup(spark, sf_dir):
     r = table(spark, sf_dir, "text_runs").select("path", "font").distinct()
-    return r.join(table(spark, sf_dir, "fonts").select("path", "font", "font_alias", "encoding"), ["path", "font"]).distinct()
+    return R.with_declared_fonts(r, table(spark, sf_dir, "fonts").select("path", "font", "font_alias", "encoding")).distinct()
 
 
-@query("SELECT vec_id, arg_max(i, (v, -i)) AS best FROM (SELECT vec_id, unnest(range(0, len(embedding))) AS i, unnest(embedding) AS v FROM embeddings) GROUP BY vec_id")
+@query("""SELECT vec_id, CASE WHEN b > 0 AND b < n - 1 THEN chr(64 + b) WHEN b = 0 THEN '' ELSE ' ' END AS text FROM (SELECT vec_id, CAST(arg_max(i, (v, -i)) AS INTEGER) AS b, CAST(count(*) AS INTEGER) AS n
+ FROM (SELECT vec_id, unnest(range(0, len(embedding))) AS i, unnest(embedding) AS v FROM embeddings) GROUP BY vec_id)""")
 def step_argmax(spark, sf_dir):
-    """Index of the greatest score of a step; of equals the first."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
-    return e.groupBy("vec_id").agg(F.max_by(F.col("i").cast("bigint"), F.struct("v", -F.col("i"))).alias("best"))
+    """The character of a recognition step of one row of scores; of equals the first, class 0 is none, the last a space."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"vec_id": f.vec_id, "text": [decode(np.asarray(e, np.float64)[None], [chr(65 + i) for i in range(len(e) - 2)])[0] for e in f.embedding]})
+
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, text string")
 
 
 @query()

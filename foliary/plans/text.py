@@ -73,10 +73,12 @@ def norm_workday(spark, sf_dir):
     return normalized(table(spark, sf_dir, "part").select("p_partkey", d.alias("_t")), F.col("_t")).select("p_partkey", "text")
 
 
-@query("SELECT s_suppkey, '中国人民' || s_suppkey || ' 号 公司' AS text FROM supplier")
+@query("SELECT s_suppkey, '中国人民' || s_suppkey || ' 号公司 ' || s_suppkey || ' 号' AS text FROM supplier")
 def norm_han_space(spark, sf_dir):
-    d = F.concat(F.lit("中 国\n人　民"), F.col("s_suppkey").cast("string"), F.lit(" 号 公司"))
-    return normalized(table(spark, sf_dir, "supplier").select("s_suppkey", F.replace(d, F.lit("号 公"), F.lit("号 公")).alias("_t")), F.col("_t")).select("s_suppkey", F.replace("text", F.lit("号公"), F.lit("号 公")).alias("text"))
+    """White space between Chinese characters goes, between a digit and one it stays."""
+    k = F.col("s_suppkey").cast("string")
+    d = F.concat(F.lit("中 国\n人　民"), k, F.lit(" 号 公 \u00a0司 "), k, F.lit(" 号"))
+    return normalized(table(spark, sf_dir, "supplier").select("s_suppkey", d.alias("_t")), F.col("_t")).select("s_suppkey", "text")
 
 
 @query("SELECT l_orderkey, l_linenumber, '第' || l_linenumber || '页共' || CAST(l_quantity AS INTEGER) || '页' AS text FROM lineitem")
@@ -133,43 +135,25 @@ def norm_tsv_guard(spark, sf_dir):
     return normalized(table(spark, sf_dir, "nation").select("n_nationkey", d.alias("_t")), F.col("_t")).select("n_nationkey", "text")
 
 
-@query("SELECT DISTINCT cell_id, length(text) AS before FROM table_cells WHERE text IS NOT NULL AND regexp_matches(text, '^[ -~]*$')")
-def norm_cells_plain(spark, sf_dir):
-    """Cells of plain ASCII keep their text."""
-    c = table(spark, sf_dir, "table_cells").where(F.col("text").rlike("^[ -~]*$"))
-    return normalized(c.select("cell_id", F.col("text").alias("_t")), F.col("_t"), cell=True).select("cell_id", F.length("text").alias("before")).distinct()
-
-
 @query()
-def norm_cells_all(spark, sf_dir):
+def norm_cells(spark, sf_dir):
     """All cells through the post-pass; no SQL can express it."""
     return normalized(table(spark, sf_dir, "table_cells").select("cell_id", F.col("text").alias("_t")), F.col("_t"), cell=True).select("cell_id", "text").distinct()
 
 
-_HTML_SQL = """SELECT doc_id, text FROM (SELECT doc_id, trim(regexp_replace(list_aggregate(list_transform(string_split(
- replace(replace(regexp_replace(regexp_replace(regexp_replace('<html><head><title>t</title></head><body><p>' || replace(replace(t, '&', '&amp;'), '<', '&lt;') || '</p><br/><b>end</b></body></html>',
- '(?is)<(?:head|style|script|noscript)\\b[^>]*>.*?</(?:head|style|script|noscript)\\s*>', '', 'g'), '(?i)<br\\s*/?>|</(?:p|div|li|tr|h[1-6])\\s*>', chr(10), 'g'), '<[^>]+>', '', 'g'),
- '&lt;', '<'), '&amp;', '&'), chr(10)), lambda x: regexp_replace(regexp_replace(x, '^\\s+', ''), '\\s+$', '')), 'string_agg', chr(10)), '\\n{3,}', chr(10) || chr(10), 'g'), chr(10)) AS text
- FROM (SELECT doc_id, text AS t FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '^[ -~\\n]*$') AND NOT contains(text, '&') AND NOT contains(text, '>')))"""
+#: White space of all scripts as SQL, and a list of lines trimmed of it.
+_SPACES = " || ".join(f"chr({c})" for c in (9, 10, 11, 12, 13, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288))
 
 
-@query(_HTML_SQL)
+@query(
+    f"""SELECT doc_id, trim(regexp_replace(array_to_string(list_transform(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) || chr(10) || chr(10) || 'end', chr(10)),
+ lambda x: trim(x, {_SPACES})), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), {_SPACES}) AS text FROM documents"""
+)
 def html_text(spark, sf_dir):
-    """Text of pages built from plain documents, in Catalyst expressions."""
-    d = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[ -~\n]*$") & ~F.col("text").contains("&") & ~F.col("text").contains(">"))
-    return _from_page(d)
-
-
-@query()
-def html_text_all(spark, sf_dir):
-    """The same for all documents, whatever their script and marks; SQL can't trim and unescape all of them."""
-    return _from_page(table(spark, sf_dir, "documents"))
-
-
-def _from_page(d: DataFrame) -> DataFrame:
+    """Text of pages built from all documents: what was put between the tags comes back, line by line."""
     t = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     page = F.concat(F.lit("<html><head><title>t</title></head><body><p>"), t, F.lit("</p><br/><b>end</b></body></html>"))
-    return d.select("doc_id", C.html_text(page).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", C.html_text(page).alias("text"))
 
 
 @query("SELECT doc_id, length(regexp_replace(coalesce(text, ''), '[^\\p{L}\\p{N}]', '', 'g')) >= 16 AS native FROM documents")
@@ -187,17 +171,11 @@ def rune_width(spark, sf_dir):
 
 
 @query(
-    """SELECT doc_id, CASE WHEN len(p) = 0 THEN '' ELSE list_reduce(p, lambda a, b: CASE WHEN regexp_matches(a, '[0-9A-Za-z]$') AND regexp_matches(b, '^[0-9A-Za-z]') THEN a || ' ' || b ELSE a || b END) END AS text
- FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[\\r\\n\\t]+'), lambda x: trim(x)), lambda x: x <> '') AS p FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{1c}-\\x{1f}\\x0b\\f]'))"""
+    f"""SELECT doc_id, CASE WHEN p IS NULL THEN NULL WHEN len(p) = 0 THEN '' ELSE list_reduce(p, lambda a, b: CASE WHEN regexp_matches(a, '[0-9A-Za-z]$') AND regexp_matches(b, '^[0-9A-Za-z]') THEN a || ' ' || b ELSE a || b END) END AS text
+ FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[\\r\\n\\t]+'), lambda x: trim(x, {_SPACES})), lambda x: x <> '') AS p FROM documents)"""
 )
 def flatten_cell(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where(~F.col("text").rlike("[\\x0b\\f\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"))
-    return d.select("doc_id", C.flatten_cell(F.col("text")).alias("text"))
-
-
-@query()
-def flatten_cell_all(spark, sf_dir):
-    """All documents on one line each, with every kind of space; DuckDB's trim doesn't know them."""
+    """All documents on one line each."""
     return table(spark, sf_dir, "documents").select("doc_id", C.flatten_cell(F.col("text")).alias("text"))
 
 

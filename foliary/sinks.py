@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-import os
 import posixpath
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .formats.common import sniff
@@ -19,17 +20,26 @@ def folder_name(path: str) -> str:
     return posixpath.splitext(posixpath.basename(path))[0] + "-" + hashlib.sha1(path.encode()).hexdigest()[:8]
 
 
+def attempt() -> int:
+    """Number of the running attempt of a task; two attempts of one task differ."""
+    task = TaskContext.get()
+    return task.taskAttemptId() if task else 0
+
+
 def write_files(docs: DataFrame, target: str) -> DataFrame:
-    """Writes page_N.txt, page_N_table_K.tsv and image_I.<type> of each document into its folder under `target` (which
-    all executors must share) and returns (path, file, bytes), one row per file. Writing is idempotent: a repeated task
-    writes the same files. Empty tables and images without data are skipped; failed documents write nothing."""
+    """Writes page_N.txt, page_N_table_K.tsv and image_I.<type> of each document into its folder under `target`, a folder
+    that all executors share or the address of a store that Arrow knows, and returns (path, file, bytes), one row per
+    file. Writing is idempotent: a repeated task writes the same files, each under a name of its own until it is whole.
+    Empty tables and images without data are skipped; failed documents write nothing."""
 
     def put(path: str, name: str, data: bytes) -> tuple[str, str, int]:
-        folder = os.path.join(target, folder_name(path))
-        os.makedirs(folder, exist_ok=True)
-        with open(os.path.join(folder, name + ".part"), "wb") as f:
+        store, base = fs.FileSystem.from_uri(target) if "://" in target else (fs.LocalFileSystem(), target)
+        folder = posixpath.join(base, folder_name(path))
+        store.create_dir(folder, recursive=True)
+        own = posixpath.join(folder, f".{name}.{attempt()}")
+        with store.open_output_stream(own) as f:
             f.write(data)
-        os.replace(os.path.join(folder, name + ".part"), os.path.join(folder, name))
+        store.move(own, posixpath.join(folder, name))
         return path, name, len(data)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

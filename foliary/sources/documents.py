@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import posixpath
 from collections.abc import Callable, Iterator
+from datetime import datetime
 from importlib import import_module
 
 import pyarrow as pa
@@ -64,9 +65,18 @@ def parse(path: str, data: bytes | None, normalize: bool = True, recognize: Call
     return row | doc | {"status": "ok"}
 
 
+#: Bytes of one Arrow batch of files.
+BATCH_BYTES = 64 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def extract(files: DataFrame, path: str = "path", content: str = "content", normalize: bool = True, recognize: Callable[[dict], None] | None = None) -> DataFrame:
-    """Documents of rows with a path and the file's bytes; map-only, one file at a time in memory."""
+    """Documents of rows with a path and the file's bytes; map-only. A batch holds at most BATCH_BYTES besides its last
+    file, and files are parsed one at a time; the binary source reads files up to 2 GB."""
     schema = to_arrow_schema(DOCUMENT)
+    conf = files.sparkSession.conf
+    if conf.get(_BATCH).rstrip("bB") == str((1 << 31) - 1):  # without a bound of the session's own
+        conf.set(_BATCH, str(BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -78,8 +88,27 @@ def extract(files: DataFrame, path: str = "path", content: str = "content", norm
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
     """Files of a folder (not below it) or a single file, without dot files: path, modificationTime, length, content.
-    Spark plans no split for a file of no bytes, so empty files have no row."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path).where(~F.element_at(F.split("path", "/"), -1).startswith("."))
+    Spark plans no split for a file of no bytes, so those come from the folder's list; it is read on the driver, as
+    Spark itself does to plan the scan."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path)
+    empty = _empty_files(spark, path)
+    if empty:
+        rows = spark.createDataFrame(empty, "path string, modificationTime timestamp, length long")
+        found = found.unionByName(rows.withColumn("content", F.unhex(F.lit("")))).select(*found.columns)
+    return found.where(~F.element_at(F.split("path", "/"), -1).startswith("."))
+
+
+def _empty_files(spark: SparkSession, path: str) -> list[tuple]:
+    """Files of no bytes that a path or pattern names, or that stand in a folder which it names."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = []
+    for top in fs.globStatus(where) or []:
+        for s in fs.listStatus(top.getPath()) if top.isDirectory() else [top]:
+            if s.isFile() and s.getLen() == 0:
+                out.append((s.getPath().toString(), datetime.fromtimestamp(s.getModificationTime() / 1000), 0))
+    return out
 
 
 def read_documents(spark: SparkSession, path: str, mode: str = "PERMISSIVE", **options) -> DataFrame:
@@ -107,6 +136,11 @@ def cells(docs: DataFrame) -> DataFrame:
     return t.select("path", "page_no", "table_id", F.explode("r.cells").alias("c")).select("path", "page_no", "table_id", "c.row", "c.column", "c.row_span", "c.col_span", "c.text", "c.bounds.*")
 
 
+def page_totals(pages: DataFrame) -> DataFrame:
+    """Pages and characters of each file, from flat pages (path, text)."""
+    return pages.groupBy("path").agg(F.count("*").alias("pages"), F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("characters"))
+
+
 def summary(docs: DataFrame) -> DataFrame:
     """Number of documents by status."""
     return docs.groupBy("status").agg(F.count("*").alias("documents"))

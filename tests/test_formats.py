@@ -114,3 +114,72 @@ def test_pictures_need_a_recognizer():
     assert parse("a.png", png)["status"] == "skipped"
     d = parse("a.PNG", png, recognize=lambda d: d["pages"][0].update(text="关 于"))
     assert d["status"] == "ok" and d["pages"][0]["text"] == "关于"
+
+
+def _pixels(data: bytes) -> list:
+    """Rows of RGBA values of a PNG whose rows have no filter."""
+    import struct
+    import zlib
+
+    at, w, h, raw = 8, 0, 0, b""
+    while at < len(data):
+        n, kind = struct.unpack_from(">I4s", data, at)
+        body = data[at + 8 : at + 8 + n]
+        w, h = struct.unpack_from(">II", body) if kind == b"IHDR" else (w, h)
+        raw += body if kind == b"IDAT" else b""
+        at += n + 12
+    rows = zlib.decompress(raw)
+    return [[tuple(rows[y * (w * 4 + 1) + 1 + 4 * x :][:4]) for x in range(w)] for y in range(h)]
+
+
+def test_pdf_pictures():
+    import zlib
+
+    size = b"/Subtype /Image /Width 2 /Height 1 /BitsPerComponent 8 /Filter /FlateDecode "
+    pictures = [
+        (size + b"/ColorSpace /DeviceRGB /SMask 7 0 R", zlib.compress(bytes([1, 2, 3, 4, 5, 6]))),
+        (size + b"/ColorSpace /DeviceGray", zlib.compress(bytes([9, 200]))),
+        (b"/Subtype /Form /Resources << /XObject << /J 9 0 R /K 8 0 R >> >>", b""),
+        (size + b"/ColorSpace /DeviceCMYK /DecodeParms << /Predictor 15 >>", zlib.compress(bytes([1, 0, 0, 0, 255, 255, 0, 0, 1]))),
+        (b"/Subtype /Image /Width 3 /Height 4 /Filter /DCTDecode", b"\xff\xd8\xff"),
+        (size + b"/ColorSpace [/Indexed /DeviceRGB 1 11 0 R]", zlib.compress(b"\0\1")),
+    ]
+    got = parse("x.pdf", X.pdf(["a"], pictures=pictures))["pages"][0]["images"]
+    by = {im["name"]: im for im in got}
+    assert sorted(by) == ["I10", "I11", "I6", "I7", "I9"]
+    assert _pixels(by["I6"]["data"]) == [[(1, 2, 3, 9), (4, 5, 6, 200)]] and _pixels(by["I7"]["data"]) == [[(9, 9, 9, 255), (200, 200, 200, 255)]]
+    four = by["I9"]
+    assert four["format"] == "png" and _pixels(four["data"]) == [[(0, 0, 0, 255), (0, 255, 255, 255)]]
+    assert by["I10"]["format"] == "jpg" and by["I10"]["data"].startswith(b"\xff\xd8\xff") and by["I11"]["format"] == "raw"
+
+
+def test_word_pictures():
+    import struct
+
+    text = "a\x01b\r"
+    raw = text.encode("utf-16-le")
+    word = bytearray(2048) + raw
+    clx = b"\x02" + struct.pack("<I", 16) + struct.pack("<II", 0, 4) + struct.pack("<HIH", 0, 2048, 0)
+    plc = struct.pack("<III", 2048, 2056, 2)
+    struct.pack_into("<I", word, 76, 4)
+    struct.pack_into("<II", word, 154 + 33 * 8, 0, len(clx))
+    struct.pack_into("<II", word, 154 + 12 * 8, len(clx), len(plc))
+    fkp = bytearray(512)
+    struct.pack_into("<II", fkp, 0, 2050, 2052)
+    fkp[8], fkp[511] = 250, 1
+    fkp[500:507] = bytes([6]) + struct.pack("<HI", 0x6A03, 3)
+    word[1024:1536] = fkp
+    png = b"\x89PNG\r\n\x1a\n" + b"\0" * 8 + b"\0\0\0\5\0\0\0\6"
+    block = struct.pack("<HHI", 0, 0xF01E, 17 + len(png)) + b"\0" * 17 + png
+    data = b"xyz" + struct.pack("<I", 4 + len(block)) + block
+    d = parse("x.doc", cfb.write({"WordDocument": bytes(word), "0Table": clx + plc, "Data": data}), normalize=False)
+    assert d["status"] == "ok" and d["pages"][0]["text"] == "ab"
+    im = d["pages"][0]["images"][0]
+    assert (im["name"], im["format"], im["width"], im["height"], bytes(im["data"])) == ("doc-image-3", "png", 5, 6, png)
+
+
+def test_html_walk():
+    assert text_of("a <> b < c <p>x</p>y") == "a <> b x\ny"
+    assert text_of("<HEAD a='1'>no<style>p</style>yes<script>open") == "yesopen"
+    assert text_of("<script>x</script >a<BR/>b<td>c</TD>d &amp;lt; &nbsp;") == "a\nbc\td &lt;"
+    assert text_of("") == "" and text_of("a < b") == "a < b" and text_of("<b") == "<b"

@@ -81,3 +81,29 @@ def test_recognizer_adds_text():
     doc = {"pages": [{"text": "", "runs": [], "width": 100.0, "height": 50.0, "images": [{"width": 64, "height": 32, "data": b"x"}]}]}
     ocr.recognizer(ocr.Engine(Detector(), Recognizer(), ["a"]), lambda b: np.zeros((32, 64, 3)))(doc)
     assert doc["pages"][0]["text"] == "a" and doc["pages"][0]["runs"][0]["font"] == "OCR"
+
+
+def test_recognition_of_a_picture(tmp_path):
+    import pytest
+
+    class Detector:
+        def run(self, x):
+            m = np.zeros(x.shape[2:], np.float32)
+            m[8:20, 8:50] = 1
+            return m
+
+    class Recognizer:
+        def run(self, x):
+            steps = np.zeros((len(x), 3, 4), np.float32)
+            steps[:, 0, 1] = steps[:, 1, 3] = steps[:, 2, 2] = 1
+            return steps
+
+    engine = ocr.Engine(Detector(), Recognizer(), ["关", "于"])
+    pixels = lambda data: np.zeros((32, 64, 3))
+    r = ocr.recognize_image(b"", engine, pixels)
+    assert r.text == "关 于" and r.lines[0].confidence == 1.0
+    (tmp_path / "x.png").write_bytes(b"x")
+    assert ocr.image_bytes_to_text(b"", engine, pixels) == ocr.image_to_text(str(tmp_path / "x.png"), engine, pixels) == "关于"
+    assert ocr.Config(threshold=-1, batch=0, workers=0).filled() == ocr.Config()
+    with pytest.raises(FileNotFoundError, match="detector"):
+        ocr.engine(ocr.Config())

@@ -56,3 +56,30 @@ def test_empty_input(spark):
     e = spark.createDataFrame([], "path string, content binary")
     assert D.extract(e).count() == 0
     assert D.extract(spark.createDataFrame([(None, None)], "path string, content binary")).select(F.col("status")).first()[0] == "skipped"
+
+
+def test_empty_files_have_rows(spark, tmp_path):
+    (tmp_path / "a.rtf").write_bytes(X.rtf(["one"]))
+    (tmp_path / "b.pdf").write_bytes(b"")
+    (tmp_path / ".hidden.pdf").write_bytes(b"")
+    (tmp_path / "below").mkdir()
+    (tmp_path / "below" / "c.pdf").write_bytes(b"")
+    got = {r.path.rsplit("/", 1)[1]: (r.status, len(r.pages)) for r in D.read_documents(spark, str(tmp_path)).collect()}
+    assert got == {"a.rtf": ("ok", 1), "b.pdf": ("failed", 0)}
+    assert [r.status for r in D.read_documents(spark, str(tmp_path / "b.pdf")).collect()] == ["failed"]
+
+
+def test_files_at_an_address(spark, tmp_path):
+    docs = D.extract(spark.createDataFrame([("x/a.rtf", X.rtf(["one"]))], "path string, content binary"))
+    assert [tuple(r) for r in sinks.write_files(docs, f"file://{tmp_path}").collect()] == [("x/a.rtf", "page_1.txt", 3)]
+    assert sorted(x.name for x in (tmp_path / sinks.folder_name("x/a.rtf")).iterdir()) == ["page_1.txt"]
+
+
+def test_styles_across_blocks(spark):
+    from foliary.operators.relational import style_at
+
+    chars = spark.createDataFrame([("a", k) for k in (0, 5, 9, 10, 35, 70, 99)] + [("b", 50)], "path string, fc long")
+    styles = spark.createDataFrame([("a", 5, 10, "x"), ("a", 30, 80, "y"), ("c", 0, 99, "z")], "path string, start long, stop long, style string")
+    want = {("a", 0): None, ("a", 5): "x", ("a", 9): "x", ("a", 10): None, ("a", 35): "y", ("a", 70): "y", ("a", 99): None, ("b", 50): None}
+    for block in (4, 1000):
+        assert {(r.path, r.fc): r.style for r in style_at(chars, styles, block).collect()} == want

@@ -1,4 +1,4 @@
-"""Queries over whole tables that no SQL expresses, against brute force on a small fixture."""
+"""Queries over whole tables against brute force on a small fixture."""
 
 import re
 
@@ -19,7 +19,6 @@ def folder(spark, tmp_path_factory):
 
 
 def result(spark, folder, name):
-    assert name not in catalogue.oracle_sql()
     return {r[0]: r[1] for r in catalogue.queries()[name](spark, folder).collect()}
 
 
@@ -28,7 +27,7 @@ def test_html_text(spark, folder):
         lines = [x.strip(SPACES) for x in (t.replace("\r\n", "\n").replace("\r", "\n") + "\n\nend").split("\n")]
         return re.sub("\n{3,}", "\n\n", "\n".join(lines)).strip(SPACES)
 
-    assert result(spark, folder, "html_text_all") == {i: t if t is None else brute(t) for i, t in enumerate(TEXTS)}
+    assert result(spark, folder, "html_text") == {i: t if t is None else brute(t) for i, t in enumerate(TEXTS)}
 
 
 def test_flatten_cell(spark, folder):
@@ -40,17 +39,17 @@ def test_flatten_cell(spark, folder):
             out += (" " if ascii_word else "") + p
         return out
 
-    assert result(spark, folder, "flatten_cell_all") == {i: t if t is None else brute(t) for i, t in enumerate(TEXTS)}
+    assert result(spark, folder, "flatten_cell") == {i: t if t is None else brute(t) for i, t in enumerate(TEXTS)}
 
 
 def test_paginate(spark, folder):
     """41 wide characters of 11 points fill a line of 451.28, 50 lines a page; 1 page at least."""
-    got = result(spark, folder, "paginate_auto_all")
+    got = result(spark, folder, "paginate_auto")
     assert set(got) == {i for i, t in enumerate(TEXTS) if t}
     assert {i: n for i, n in got.items() if n != 1} == {9: 2, 10: 2}
 
 
 def test_cells(spark, folder):
-    got = result(spark, folder, "norm_cells_all")
+    got = result(spark, folder, "norm_cells")
     assert len(got) == len(TEXTS) and got[0] is None and got[2] == "plain text" and got[3] == TEXTS[3] and got[8] == TEXTS[8]
     assert got[4] == "因为送往青云的货物晚了"
