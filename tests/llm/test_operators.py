@@ -312,6 +312,25 @@ def test_components(spark):
 
 def test_course():
     assert neardup.course([1, 2, 3, 4], [1, 2, 9, 4]) == 0.75 and neardup.course([], []) == 1.0
+    a, b = (neardup.profile(t) for t in ("abcdefghij", "abcdefgxyz"))
+    assert neardup.compare(a, b)[1] == 3 / 9 and neardup.compare(a, b, 0.5)[0] == 0.0 and neardup.compare(a, a) == (1.0, 1.0)
+
+
+def test_hot_keys_meet_in_blocks(spark):
+    """A key of many ids, one of few and one of one: all pairs once, whatever the size of a block."""
+    rows = [(i, 1) for i in range(40)] + [(i, 2) for i in (3, 50, 51)] + [(60, 3)]
+    want = {(i, j) for i in range(40) for j in range(i + 1, 40)} | {(3, 50), (3, 51), (50, 51)}
+    for block in (7, 1000):
+        got = [(r.a, r.b) for r in neardup.candidates(frame(spark, rows, "_id long, _key long"), block).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_scrambled_text_is_compared(spark):
+    """Sentences in any order: the sets decide, not the course."""
+    words = [f"sentence {i} speaks of the {['gate', 'lamp', 'yard', 'chair', 'boat'][i % 5]} number {i * 37 % 101} near the {i * 53 % 97} river." for i in range(24)]
+    other = [words[i] for i in np.random.default_rng(3).permutation(24)]
+    df = frame(spark, [(1, " ".join(words)), (2, " ".join(other))], "page_id long, text string")
+    assert [(r.a, r.b) for r in neardup.links(df)[0].collect()] == [(1, 2)]
 
 
 # 8 -------------------------------------------------------------------------------------------------------------------
