@@ -1,9 +1,9 @@
 """Problem 1: figures that describe a text, their distribution by language, and the kind of text.
 
 One map over Arrow batches computes the figures; only they and the sketches (a few kB per language and statistic) move
-on. Every line is rated by its form, and a record takes the kind that holds most of its characters. Where the form says
-prose, the percentiles of the record's statistics among the running text of its language decide whether it lies in a
-tail that no running text reaches.
+on. Every line is rated by its form, and a record takes the kind that holds most of its characters. The percentiles and
+robust z-scores of its statistics among the running text of its language say whether it lies in a tail that no running
+text reaches; where it does, it is no prose, whatever the form says.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import durable, records, table
-from .figures import KINDS, STATS, figures, kind_sizes
+from .figures import KINDS, STATS, UNSPACED, figures, kind_sizes
 
 
 def describe(df: DataFrame, words: dict[str, list[str]], text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -76,22 +76,39 @@ def _below(v: Column) -> Callable[[Column], Column]:
     return lambda x: x < v
 
 
+#: Robust z-scores that running text doesn't reach, by statistic, and the kind that a record of no known form gets there.
+#: Running text of every language stays under 11 in symbols and digits and under 7 in the length of words.
+TAILS = {"symbol_ratio": (12.0, "list"), "digit_ratio": (12.0, "list"), "mean_word_len": (9.0, "junk"), "novowel_ratio": (40.0, "junk")}
+
+
+def tail(stats: DataFrame) -> Column:
+    """The statistic whose z-score lies farthest beyond its limit in TAILS, null where none does. Word lengths and words
+    without vowels mean nothing in scripts without spaces."""
+    spaced = ~F.col("lang").isin(*UNSPACED)
+    over = {c: F.when(spaced | F.lit(c in ("symbol_ratio", "digit_ratio")), F.col(f"z_{c}") / limit) for c, (limit, _) in TAILS.items()}
+    far = F.array_max(F.array(*(F.struct(F.when(z > 1, z).alias("z"), F.lit(c).alias("c")) for c, z in over.items())))
+    return F.when(far["z"].isNotNull(), far["c"])
+
+
 def classify(df: DataFrame, words: dict[str, list[str]], text: str = "text") -> DataFrame:
-    """The other columns with the figures, their percentiles and z-scores, and text_kind (prose, list, table, junk; null for blank)."""
+    """The other columns with the figures, their percentiles and z-scores, tail (the statistic in which the record lies
+    beyond all running text, if any) and text_kind (prose, list, table, junk; null for blank)."""
     s = durable(describe(df, words, text))  # figures only: what follows reads them twice
     prose = (F.col("c_prose") * 10 > 9 * (F.col("c_prose") + F.col("c_list") + F.col("c_table") + F.col("c_junk"))) & (F.col("line_end_ratio") > 0)
     s = percentiles(s, sketches(s, prose))
     most = F.greatest(*(F.col(f"c_{k}") for k in KINDS))
     # running text has frequent words or at least ends a sentence; a record in neither tail's reach is an inline list
     bare = F.coalesce(F.col("p_common_ratio") < 0.03, F.lit(True)) & (F.coalesce(F.col("line_end_ratio"), F.lit(0.0)) == 0)
-    kind = reduce(lambda w, k: w.when(F.col(f"c_{k}") == most, k), KINDS[1:], F.when(F.col("n_chars") < 1, None).when((F.col("c_prose") == most) & bare, "list").when(F.col("c_prose") == most, "prose"))
-    return s.withColumn("text_kind", kind)
+    s = s.withColumn("tail", tail(s))
+    far = reduce(lambda w, c: w.when(F.col("tail") == c, TAILS[c][1]), TAILS, F.when(F.lit(False), "prose"))
+    form = F.when(F.col("n_chars") < 1, None).when((F.col("c_prose") == most) & F.col("tail").isNotNull(), far).when((F.col("c_prose") == most) & bare, "list").when(F.col("c_prose") == most, "prose")
+    return s.withColumn("text_kind", reduce(lambda w, k: w.when(F.col(f"c_{k}") == most, k), KINDS[1:], form))
 
 
 def function_words(spark: SparkSession, sf_dir: str) -> dict[str, list[str]]:
     """The fixed word lists (210 rows)."""
     out: dict[str, list[str]] = {}
-    for r in table(spark, sf_dir, "function_words").where("lang IS NOT NULL AND word IS NOT NULL").distinct().orderBy("lang", "word").limit(10_000).collect():
+    for r in table(spark, sf_dir, "function_words").where("lang IS NOT NULL AND word IS NOT NULL").distinct().orderBy("lang", "word").collect():
         out.setdefault(r.lang, []).append(r.word)
     return out
 
