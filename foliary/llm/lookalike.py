@@ -122,9 +122,9 @@ def find(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
 
 
 def unify(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """All rows (*keys, text) with every such word replaced by its member; null texts stay null, repeated keys keep
-    their rows."""
-    changed = find(df, keys, text).groupBy(*keys).agg(F.map_from_arrays(F.collect_list("word"), F.collect_list("member")).alias("_to"))
+    """All rows (*keys, text) with every such word replaced by its member; null texts stay null, repeated rows stay
+    repeated."""
+    changed = find(df, keys, text).groupBy(*keys).agg(F.map_from_entries(F.collect_set(F.struct("word", "member"))).alias("_to"))
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
     cond: Column = same[0]
     for c in same[1:]:
@@ -149,9 +149,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page and cell in one form."""
     rows = records(spark, sf_dir)
-    newest = rows.where(F.col("text").isNotNull() & ~F.col("text").rlike(f"{UNUSUAL}|{MIXED}"))
-    odd = rows.where(F.col("text").isNotNull() & F.col("text").rlike(f"{UNUSUAL}|{MIXED}")).dropDuplicates(["record_kind", "record_id"])
-    return newest.unionByName(unify(odd, ["record_kind", "record_id"]))
+    odd = F.coalesce(F.col("text").rlike(f"{UNUSUAL}|{MIXED}"), F.lit(False))
+    return rows.where(~odd).unionByName(unify(rows.where(odd), ["record_kind", "record_id"]))
 
 
 QUERIES = {"p5_found": p5_found, "p5_unified": p5_unified}
