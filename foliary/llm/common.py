@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,11 +27,14 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def durable(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder, so that a lost executor costs no recomputation.
 
-    The folder is read from spark.checkpoint.dir; a temporary one is set only where the session has none (tests).
+    The folder is read from spark.checkpoint.dir. Where the session has none, a temporary one is set if all runs on one
+    machine (tests); on a cluster that is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="foliary-checkpoint-"))
     return df.checkpoint(eager)
 
