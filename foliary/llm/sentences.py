@@ -55,12 +55,14 @@ def _shape(w: str) -> str:
 def quoted(text: str) -> list[tuple[int, int, bool]]:
     """Spans of direct speech (start, end, whether a colon or a comma leads into it), within one paragraph."""
     pairs = {"“": "”", "„": "“", "«": "»", "「": "」", "『": "』"}
-    out, i = [], 0
+    out, i, stop = [], 0, 0
     while i < len(text):
         if text[i] in pairs:
-            j = text.find(pairs[text[i]], i + 1, i + 400)
-            p = text.find("\n\n", i, j) if j > 0 else -1
-            if j > 0 and p < 0:
+            if stop <= i:  # the end of the paragraph, found once
+                stop = text.find("\n\n", i)
+                stop = len(text) if stop < 0 else stop
+            j = text.find(pairs[text[i]], i + 1, stop)
+            if j > 0:
                 out.append((i, j, text[:i].rstrip()[-1:] in (":", "：", ",", "，")))
                 i = j
         i += 1
