@@ -19,6 +19,8 @@ CONFUSIONS = """c e;e c;0 o;+ t;cl d;d cl;l i;i l;ii u;u ii;j i;rn m;m rn;9 g;b
 入 人;问 间;伞 个;巳 已;己 已;仕 在;各 名;き ま;か が;犬 大;太 大;土 士;士 土;日 曰;曰 日;ソ ン;ン ソ;シ ツ;ツ シ;ほ は;末 来;千 干;干 千;贷 货;
 鸟 乌;ま き;ぬ め;る ろ;ろ る;わ れ;れ わ;ク ワ;ワ ク;フ ワ;ラ ヲ;木 本;白 自;自 白;目 日;日 目;力 刀;ロ 口;口 ロ;ニ 二;二 ニ;夕 タ;タ 夕;ケ ヶ;エ 工;工 エ"""
 PAIRS = [tuple(p.split()) for p in CONFUSIONS.replace("\n", "").split(";")]
+#: Lengths of what a scan misreads.
+SIZES = sorted({len(a) for a, _ in PAIRS})
 #: How much more frequent the variant must be, and how often it must occur at least.
 RATIO, RATIO_UNSPACED, LEAST = 10, 4, 5
 HYPHENS = "\\-\u2010\u2011\u00ac\u2013\u00ad"
@@ -93,10 +95,10 @@ def corrections(counts: DataFrame) -> DataFrame:
     spark = counts.sparkSession
     rules = spark.createDataFrame(PAIRS, "a string, b string").withColumn("shift", anagram(F.col("b")) - anagram(F.col("a")))
     known = counts.where(F.col("n") >= LEAST).select(F.col("token").alias("correction"), F.col("n").alias("m"), anagram(F.col("token")).alias("h"))
-    # a place in the token for each occurrence of a confusion; the list of confusions is fixed
-    places = counts.join(F.broadcast(rules), F.col("token").contains(F.col("a")))
-    at = F.filter(F.sequence(F.lit(1), F.length("token")), lambda i: F.substr("token", i, F.length("a")) == F.col("a"))
-    tried = places.select("token", "n", "a", "b", (anagram(F.col("token")) + F.col("shift")).alias("h"), F.explode(at).alias("i"))
+    # every place of every token with the one or two characters there, joined with the fixed list by equality
+    at = F.transform(F.sequence(F.lit(1), F.length("token")), lambda i: F.array(*(F.struct(i.alias("i"), F.substr("token", i, F.lit(k)).alias("a")) for k in SIZES)))
+    places = counts.where(F.length("token") > 0).select("token", "n", anagram(F.col("token")).alias("_h"), F.explode(F.array_distinct(F.flatten(at))).alias("p"))
+    tried = places.select("token", "n", "_h", "p.i", "p.a").join(F.broadcast(rules), "a").select("token", "n", "a", "b", (F.col("_h") + F.col("shift")).alias("h"), "i")
     variant = F.concat(F.substr("token", F.lit(1), F.col("i") - 1), F.col("b"), F.substr("token", F.col("i") + F.length("a"), F.length("token")))
     tried = tried.withColumn("variant", variant)
     hit = tried.join(known, "h").where((F.col("variant") == F.col("correction")) & (F.col("m") >= F.when(F.col("token").rlike(UNSPACED), RATIO_UNSPACED).otherwise(RATIO) * F.col("n")))
