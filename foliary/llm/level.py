@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from .common import durable, table
 from .figures import line_kind
 
-BITS, ROUNDS = 16, 8
+#: Rounds at most; they end when the grades of words change by less than STILL on average.
+BITS, ROUNDS, STILL = 18, 20, 0.001
 #: Words of fewer documents carry no grade.
 LEAST_DOCS = 4
 #: Documents with less running text get no level.
@@ -94,6 +95,8 @@ def propagate(docs: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.nda
     n = 1 << BITS
     sc = docs.sparkSession.sparkContext
     word, weight = np.zeros(n), np.zeros(n)
+    # every task hands over up to 2^BITS sums a round, so a few tasks for every core are enough
+    docs = docs.coalesce(4 * sc.defaultParallelism)
     for turn in range(rounds):
         sent = sc.broadcast((word, weight))
 
@@ -124,10 +127,13 @@ def propagate(docs: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.nda
         prior = 0.5
         mean = (total.s.to_numpy() + prior * middle) / (t + prior)
         spread = np.maximum(0.0, (total.q.to_numpy() + prior * (middle**2 + 1.5)) / (t + prior) - mean**2)
+        before = word
         word, weight = np.zeros(n), np.zeros(n)
         word[i] = mean
         weight[i] = np.where((total.n.to_numpy() >= LEAST_DOCS) & (t > 0), 1 / (0.15 + spread) ** 2, 0)
         sent.unpersist()
+        if turn and np.average(np.abs(word - before), weights=np.maximum(weight, 1e-12)) < STILL:
+            break
     return word, weight
 
 
