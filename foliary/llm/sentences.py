@@ -263,9 +263,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sentences of every page."""
-    pages = _pages(spark, sf_dir)
-    return segment(pages, model(pages, "page_id")).distinct()
+    """The sentences of every page. Of a page delivered several times the first delivery counts, which ids and times
+    settle before texts are cut; deliveries of the same moment repeat their sentences."""
+    rows = table(spark, sf_dir, "doc_pages").select("page_id", "text", "loaded_at")
+    first = rows.groupBy("page_id").agg(F.min("loaded_at").alias("_at")).select(F.col("page_id").alias("_id"), "_at")
+    once = rows.join(first, F.col("page_id").eqNullSafe(F.col("_id")) & F.col("loaded_at").eqNullSafe(F.col("_at")), "left_semi").select("page_id", "text")
+    return segment(once, model(_pages(spark, sf_dir), "page_id"))
 
 
 QUERIES = {"p6_found": p6_found, "p6_sentences": p6_sentences}
