@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import posixpath
+import re
+import tempfile
+import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import fixtures
+from .. import fixtures, sinks
 from ..sources import documents as D
 from .text import table
 
@@ -120,3 +125,71 @@ def file_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["file_stats"] = file_stats
 SQL["file_stats"] = f"SELECT p_partkey, 1 AS pages, 0 AS images, 1 AS tables, CAST(length(a) + length(b) + length(c) + 2 AS INTEGER) AS characters FROM (SELECT {_LINES} FROM part)"
+
+
+def _shared(spark: SparkSession) -> str:
+    """A new folder that all executors share: below the session's folder for checkpoints; a temporary one only where all
+    runs on one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return posixpath.join(folder or tempfile.mkdtemp(prefix="foliary-"), f"files-{uuid.uuid4().hex}")
+
+
+def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("a"), F.col("s_nationkey").cast("string").alias("b"))
+    return built(s, "s_suppkey", ".docx", lambda r: fixtures.docx([r[0]], [r]), "a", "b")
+
+
+def folder_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of a real folder, an empty and an unknown file among them, in the mode that leaves failed ones out."""
+    folder = _shared(spark)
+    more = spark.createDataFrame([("empty.docx", b""), ("note.xyz", b"x")], "path string, content binary")
+    sinks.write_raw(_suppliers(spark, sf_dir).union(more), folder).write.format("noop").mode("overwrite").save()
+    p = D.pages(D.read_documents(spark, folder, mode="DROPMALFORMED", normalize=False))
+    return p.select(F.regexp_extract("path", r"(\d+)\.docx$", 1).cast("long").alias("s_suppkey"), F.col("number").alias("page_no"), "text")
+
+
+QUERIES["folder_scan"] = folder_scan
+SQL["folder_scan"] = "SELECT s_suppkey, CAST(1 AS INTEGER) AS page_no, s_name || chr(10) || s_name || chr(9) || s_nationkey AS text FROM supplier"
+
+
+def folder_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file of a folder has a row, whatever becomes of it."""
+    folder = _shared(spark)
+    more = spark.createDataFrame([("empty.docx", b""), ("note.xyz", b"x"), (".hidden.docx", b"")], "path string, content binary")
+    sinks.write_raw(_suppliers(spark, sf_dir).union(more), folder).write.format("noop").mode("overwrite").save()
+    return D.summary(D.read_documents(spark, folder))
+
+
+QUERIES["folder_status"] = folder_status
+SQL["folder_status"] = "SELECT 'ok' AS status, count(*) AS documents FROM supplier UNION ALL SELECT 'failed', 1 UNION ALL SELECT 'skipped', 1"
+
+
+def written_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the file sink writes of each document: its page and its table."""
+    w = sinks.write_files(D.extract(_suppliers(spark, sf_dir), normalize=False), _shared(spark))
+    return w.select(F.regexp_extract("path", "^([^.]*)", 1).cast("long").alias("s_suppkey"), "file", "bytes")
+
+
+QUERIES["written_files"] = written_files
+SQL["written_files"] = """SELECT s_suppkey, 'page_1.txt' AS file, CAST(octet_length(encode(s_name || chr(10) || s_name || chr(9) || s_nationkey)) AS BIGINT) AS bytes FROM supplier
+ UNION ALL SELECT s_suppkey, 'page_1_table_1.tsv', CAST(octet_length(encode(s_name || chr(9) || s_nationkey)) AS BIGINT) FROM supplier"""
+
+
+def pdf_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures of page descriptions: 8-bit samples with a soft mask come out as a picture file with its size."""
+    size = b"/Subtype /Image /Width %d /Height 1 /BitsPerComponent 8 /Filter /FlateDecode "
+
+    def make(r: tuple) -> bytes:
+        n = 1 + int(r[0]) % 40
+        return fixtures.pdf(["x"], pictures=[(size % n + b"/ColorSpace /DeviceRGB /SMask 7 0 R", zlib.compress(bytes(range(3 * n)))), (size % n + b"/ColorSpace /DeviceGray", zlib.compress(bytes(n)))])
+
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_suppkey").cast("string").alias("a"))
+    p = D.pages(D.extract(built(s, "s_suppkey", ".pdf", make, "a"), normalize=False))
+    im = p.select(F.regexp_extract("path", "^([^.]*)", 1).cast("long").alias("s_suppkey"), F.explode("images").alias("i"))
+    return im.select("s_suppkey", F.col("i.name").alias("name"), F.col("i.format").alias("format"), F.col("i.width").alias("width"))
+
+
+QUERIES["pdf_pictures"] = pdf_pictures
+SQL["pdf_pictures"] = "SELECT s_suppkey, name, format, CAST(1 + s_suppkey % 40 AS INTEGER) AS width FROM supplier, (VALUES ('I6', 'png'), ('I7', 'png')) t(name, format)"
