@@ -152,6 +152,33 @@ def test_files_and_fonts(spark):
     assert all(got[5000 + k] == (None, None) for k in range(3))
 
 
+def test_limits_come_from_all_clean_runs(spark):
+    """Quantiles over every clean run, far more of them than any sample held; a run that is broken or short counts not."""
+    rng = random.Random(11)
+    words = [w.strip(".,") for t in WORDS_OF + [PROSE] for w in t.split()]
+    good = [" ".join(rng.choice(words) for _ in range(rng.randint(2, 12))) + f" {rng.randint(0, 9999)}" for _ in range(9000)] + sentences_of(900)
+    df = frame(spark, list(enumerate([*good, "\ufffd\ufffd broken text here", "short", None, ""])), "run_id long, text string")
+    model, limits = encoding.fitted(df, "run_id", "text")
+    total, least, size, wide = model.score([t for t in good if len(t) >= 8], wide=True)
+    mean, q = total / size, encoding.TRIED
+    want = [np.quantile(least[~wide], q), np.quantile(mean[~wide], q / 2), np.quantile(least[wide], q / 2), np.quantile(mean[wide], q / 2)]
+    got = [limits.floor, limits.usual, limits.floor_wide, limits.usual_wide]
+    assert np.allclose(got, want, rtol=0, atol=1.01 / encoding.STEP) and limits.margin == encoding.MARGIN
+
+
+def test_margin_counts_all_clean_runs(spark):
+    """More than a hundredth of the clean runs gain: the margin lies between them and the same runs garbled."""
+    assert encoding.quantile({0: 97, 5: 2, 9: 1}, 0.99) == pytest.approx(np.quantile([0] * 97 + [5] * 2 + [9], 0.99))
+    df = frame(spark, [(i, f"{t} {i}") for i in range(60) for t in WORDS_OF], "run_id long, text string")
+    model, limits = encoding.fitted(df, "run_id", "text")
+    schema = "kind byte, nth byte, old string, gain double"
+    rated = lambda g: frame(spark, [(encoding.PERHAPS, 0, f"{WORDS_OF[0]} {i}", g) for i in range(30)], schema)
+    low = encoding.margin(df, "text", rated(8.0), model, limits, 240)
+    mid = encoding.margin(df, "text", rated(11.0), model, limits, 240)
+    high = encoding.margin(df, "text", rated(1000.0), model, limits, 240)
+    assert low == encoding.MARGIN < mid == pytest.approx(11.0, rel=1e-3) and mid < high < 1000
+
+
 def test_repair_of_nothing(spark):
     df = frame(spark, [], "run_id long, text string")
     assert encoding.repair(df, *encoding.fitted(df, "run_id", "text")).count() == 0
