@@ -360,6 +360,67 @@ def test_scrambled_text_is_compared(spark):
     assert [(r.a, r.b) for r in neardup.links(df)[0].collect()] == [(1, 2)]
 
 
+def letters(rng, n):
+    return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+
+
+def test_no_pair_is_left_out(spark):
+    """Long pieces in any order and scattered changes, on both sides of the threshold, against brute force."""
+    rng, rows = random.Random(17), []
+    for i in range(24):
+        pieces = [letters(rng, 30 + i) for _ in range(20 + 2 * i)]
+        for _ in range(3):
+            other = [p[:9] + "-" + p[10:] if rng.random() < i % 6 / 12 else p for p in pieces]
+            rows.append((len(rows), " ".join(rng.sample(other, len(other)))))
+        rows.append((len(rows), " ".join(pieces[: int(len(pieces) * (0.76 + i / 200))])))
+    found, members = neardup.links(frame(spark, rows, "page_id long, text string"))
+    got = [(r.a, r.b) for r in neardup.pairs_of(found, members, "page_id", None).collect()]
+    grams = {i: {u[k : k + 5] for k in range(len(u) - 4)} for i, t in rows if len(u := "".join(t.split())) >= 400}
+    want = {(a, b) for a, b in itertools.combinations(sorted(grams), 2) if len(grams[a] & grams[b]) >= 0.75 * len(grams[a] | grams[b])}
+    assert sorted(got) == sorted(want) and 20 < len(want) < 24 * 6
+
+
+def test_keys_with_several_texts(spark):
+    """Every text of a key is compared; texts that share a key aren't taken for copies."""
+    rng = random.Random(19)
+    a, b = (" ".join(letters(rng, 12) for _ in range(60)) for _ in range(2))
+    rows = [(1, a), (1, b), (2, a), (3, b), (4, a[:-9]), (5, b[9:]), (1, a)]
+    found, members = neardup.links(frame(spark, rows, "page_id long, text string"))
+    got = [(r.a, r.b) for r in neardup.pairs_of(found, members, "page_id").collect()]
+    assert sorted(got) == [(1, 2), (1, 3), (1, 4), (1, 5), (2, 4), (3, 5)]
+
+
+def test_all_pairs_of_copies(spark):
+    t = " ".join(f"word{i}" for i in range(120))
+    found, members = neardup.links(spark.range(60).select(F.col("id").alias("page_id"), F.lit(t).alias("text")))
+    assert neardup.pairs_of(found, members, "page_id", None).count() == 60 * 59 // 2
+
+
+def test_hot_parts_of_texts_meet_in_blocks(monkeypatch):
+    """The join of prefixes finds the same pairs whether keys are cut into blocks or not, and in any step."""
+    rng = random.Random(23)
+    base = [letters(rng, 500) for _ in range(6)]
+    texts = [t[:k] + letters(rng, 20) + t[k:] for t in base for k in range(20, 480, 20)]
+    level = np.full(1 << neardup.BITS, 8 * 7, np.uint8)
+    every = [neardup.tokens_of(t, level) for t in texts]
+    ids = np.arange(len(texts)) * 7 + 1
+
+    def pairs():
+        cut = [neardup.prefix(t, 0.75, int(i)) for t, i in zip(every, ids, strict=True)]
+        sign = np.array([np.frombuffer(neardup.signs(t), np.uint64) for t in every])
+        of = np.repeat(np.arange(len(texts)), [len(k) for k, _ in cut])
+        got = neardup.met(ids, np.array([len(t) for t in every], np.int32), sign, of, np.concatenate([k for k, _ in cut]), np.concatenate([p for _, p in cut]), 0.75)
+        return {tuple(p) for g in got for p in g.T.tolist()}, len(of)
+
+    whole, n = pairs()
+    monkeypatch.setattr(neardup, "HOT", 16)
+    monkeypatch.setattr(neardup, "STEP", 100)
+    cut, more = pairs()
+    assert cut == whole and more > 4 * n
+    want = {(int(ids[a]), int(ids[b])) for a, b in itertools.combinations(range(len(texts)), 2) if len(np.intersect1d(every[a], every[b])) >= 0.75 * len(np.union1d(every[a], every[b]))}
+    assert want and want <= whole
+
+
 # 8 -------------------------------------------------------------------------------------------------------------------
 def test_encoding_equals_the_library():
     from tokenizers import Tokenizer
